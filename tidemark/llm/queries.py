@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm
+from . import bpe, exact_dedup, licenses, lm, ngram_join, packing, quality, token_output, toxicity
+from .word_bpe import encoder
+
+
+#: A tokenizer file of the installed package, read where tasks run.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +24,69 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.judged(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
+def with_end(path: str, end: int = 1):
+    """An encoder of whole texts that adds the id ``end`` to each."""
+
+    def make():
+        encode, last = encoder(path).encode, end.to_bytes(4, "little")
+        return lambda texts: [x + last for x in encode(texts)]
+
+    return make
+
+
+def op9_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), with_end(WORD_BPE))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_packed_id_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.packed_rows(_table(spark, sf_dir, "documents"), with_end(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kneser_ney_quality": op2_kneser_ney_quality,
+    "op3_toxicity": op3_toxicity,
+    "op4_byte_level_bpe": op4_byte_level_bpe,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_exact_dedup": op6_exact_dedup,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_license_scan": op8_license_scan,
+    "op9_bounded_space_packing": op9_bounded_space_packing,
+    "op10_packed_id_matrix": op10_packed_id_matrix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": """
+        with body as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as body from documents)
+        select doc_id, min(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size,
+            doc_id = min(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
+        from body
+    """,
+}

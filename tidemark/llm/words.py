@@ -16,12 +16,12 @@ class Words:
     bytes.split() splits at exactly the white space [\\x20\\x09-\\x0D] and bytes.lower() changes only A-Z.
     """
 
-    def __init__(self, texts: list[bytes], first: tuple[bytes, ...] = (), last: tuple[bytes, ...] = ()):
+    def __init__(self, texts: list[bytes], first: tuple[bytes, ...] = (), last: tuple[bytes, ...] = (), lower: bool = True):
         vocabulary: dict[bytes, int] = defaultdict(count().__next__)
         get = vocabulary.__getitem__
         parts = []
         for text in texts:
-            words = [*first, *text.lower().split(), *last]
+            words = [*first, *(text.lower() if lower else text).split(), *last]
             parts.append(np.fromiter(map(get, words), np.int32, len(words)))
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]).astype(np.int64)
         self.ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
