@@ -7,11 +7,47 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import shared
+from tidemark.llm import exact_dedup, ngram_join, packing, quality, queries, shared, toxicity
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: No SQL stands for trained models and packing; tests/llm holds brute-force versions.
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the perplexity under a model of trusted text does not reject."""
+    return quality.keep_good(docs, _labels(spark, sf_dir))
+
+
+def civil_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network does not find toxic."""
+    return toxicity.keep_clean(docs, toxicity.learn(docs, _labels(spark, sf_dir)))
+
+
+def distinct_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of equal texts."""
+    return exact_dedup.first_of_each_group(docs)
+
+
+def dissimilar_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near-duplicate texts."""
+    return ngram_join.first_of_each_group(docs)
+
+
+def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 token ids."""
+    return packing.pack(docs, queries.with_end(queries.WORD_BPE))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_text),
+    ("toxicity", civil_text),
+    ("exact_dedup", distinct_text),
+    ("ngram_join", dissimilar_text),
+    ("packing", packed_tokens),
+]
+
+#: SQL stands for neither trained models nor packing; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 

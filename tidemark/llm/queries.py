@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, lm, ngram_join, packing, quality, token_output, toxicity
+from . import bpe, embed_dedup, exact_dedup, licenses, lm, ngram_join, packing, quality, token_output, toxicity
 from .word_bpe import encoder
 
 
@@ -24,6 +24,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ def op10_packed_id_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_graph": op1_embedding_graph,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
     "op3_toxicity": op3_toxicity,
     "op4_byte_level_bpe": op4_byte_level_bpe,
