@@ -21,6 +21,32 @@ def lookup(df: DataFrame, table: DataFrame, level: Column, key: str, value: str,
     return joined.select(*df.columns, F.coalesce("__value", missing).alias(name))
 
 
+def level_tables(train: DataFrame, columns: list[str], time: str, row_id: str) -> tuple[DataFrame, dict[str, int]]:
+    """(column, level, n, code) of all columns from one pass over training rows, and the number of levels by column.
+
+    code numbers the non-NULL levels of a column from 0 by first appearance. The table is persisted.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns)))
+    levels = train.select(time, row_id, pairs.alias("x")).groupBy("x.column", "x.level").agg(F.count("*").alias("n"), F.min(F.struct(time, row_id)).alias("first"))
+    own = Window.partitionBy("column").orderBy(F.col("level").isNull(), "first")  # one row for each level of a column
+    table = levels.withColumn("code", F.when(F.col("level").isNotNull(), F.row_number().over(own) - 1)).drop("first").persist()
+    return table, {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}  # a row for each column
+
+
+def lookup_levels(df: DataFrame, table: DataFrame, sizes: dict[str, int], wanted: dict[str, list[tuple[str, str, int]]], key: str = "{}") -> DataFrame:
+    """Adds (name, statistic, missing) columns for each column of ``wanted`` from ``level_tables``.
+
+    A column's levels are broadcast when they are BROADCAST_ROWS or fewer, and joined by a shuffle otherwise.
+    """
+    for c, outputs in wanted.items():
+        small = table.where(F.col("column") == c).select(F.col("level").alias("__level"), *(F.col(stat).alias(f"__v_{name}") for name, stat, _ in outputs))
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
+            small = F.broadcast(small)
+        joined = df.join(small, F.col(key.format(c)).cast("string").eqNullSafe(F.col("__level")), "left")
+        df = joined.select(*df.columns, *(F.coalesce(f"__v_{name}", F.lit(missing)).alias(name) for name, _, missing in outputs))
+    return df
+
+
 def frequency_map(train: DataFrame, column: str) -> DataFrame:
     """level, n: NULL is a counted level."""
     return train.groupBy(F.col(column).alias("level")).agg(F.count("*").alias("n"))
@@ -67,6 +93,20 @@ def one_hot_levels(train: DataFrame, column: str, cap: int = 25, least: int = 50
     return sorted((r["level"] for r in counts if r["n"] >= least and r["level"] is not None), key=str)
 
 
+def small_vocabularies(train: DataFrame, columns: list[str], cap: int = 25) -> dict[str, dict]:
+    """Counts by level of the columns with ``cap`` levels or fewer, NULL included; one pass finds the columns."""
+    if not columns:
+        return {}
+    sizes = train.agg(*((F.approx_count_distinct(c)).alias(c) for c in columns)).first()
+    out = {}
+    for c in columns:
+        if sizes[c] <= 2 * cap:  # the estimate only spares exact counts of columns that are far too large
+            rows = frequency_map(train, c).limit(cap + 1).collect()  # cap + 1 rows at most
+            if len(rows) <= cap:
+                out[c] = {r["level"]: r["n"] for r in rows}
+    return out
+
+
 def one_hot(df: DataFrame, column: str, levels: list, known: list) -> DataFrame:
     """0/1 columns for ``levels``, one for the other ``known`` levels; unknown levels are zero everywhere."""
     own = [(F.col(column) == F.lit(v)) for v in levels]

@@ -57,8 +57,10 @@ class FeatureBuilder:
     def fit(self, train: DataFrame) -> FeatureBuilder:
         keyed = self._keyed(train)
         self.edges = encode.quantile_edges(keyed, schema.AMOUNT) if schema.AMOUNT in keyed.columns else []
-        self.frequency = {c: encode.frequency_map(keyed, c) for c in self._frequency_columns(keyed)}
-        self.codes = {c: encode.vocabulary(keyed, c, schema.TIME, schema.ID) for c in schema.present(keyed.columns, schema.CATEGORICAL)}
+        self.frequency = self._frequency_columns(keyed)
+        self.codes = schema.present(keyed.columns, schema.CATEGORICAL)
+        columns = sorted({*self.frequency, *self.codes})
+        self.levels, self.sizes = encode.level_tables(keyed, columns, schema.TIME, schema.ID) if columns else (None, {})
         self.prior = encode.prior(keyed, schema.TARGET) if schema.TARGET in keyed.columns else None
         self.fitted = True
         return self
@@ -87,14 +89,14 @@ class FeatureBuilder:
             out |= {f"{c}_te": self.target_encoding([c], schema.TIME, schema.TARGET, F.lit(self.prior), self.lag, self.smoothing).cast("float") for c in schema.present(held, schema.TARGET_ENCODED)}
         numeric = schema.present(held, [c for block in schema.NUMERIC_BLOCKS.values() for c in block])
         raw = {c: F.col(c).cast("float") for c in numeric}
-        looked = sorted(set(self.frequency) | set(self.codes))
-        wide = keyed.select(schema.ID, *days, *(F.col(c).alias(f"__k_{c}") for c in looked if c in held), *(c.alias(n) for n, c in (out | raw).items()))
-        for c, table in self.frequency.items():
-            if c in held:
-                wide = encode.lookup(wide, table, F.col(f"__k_{c}"), "level", "n", f"{c}_freq", F.lit(0).cast("long"))
-        for c, table in self.codes.items():
-            if c in held:
-                wide = encode.lookup(wide, table, F.col(f"__k_{c}"), "level", "code", f"{c}_code", F.lit(-1))
+        wanted: dict[str, list] = {}
+        for c in self.frequency:
+            wanted.setdefault(c, []).append((f"{c}_freq", "n", 0))
+        for c in self.codes:
+            wanted.setdefault(c, []).append((f"{c}_code", "code", -1))
+        wanted = {c: outputs for c, outputs in wanted.items() if c in held}
+        wide = keyed.select(schema.ID, *days, *(F.col(c).alias(f"__k_{c}") for c in wanted), *(c.alias(n) for n, c in (out | raw).items()))
+        wide = encode.lookup_levels(wide, self.levels, self.sizes, wanted, "__k_{}")
         return wide.select(*(c for c in wide.columns if not c.startswith("__k_")))
 
 
