@@ -1,7 +1,7 @@
 """A total order over a whole table without moving it to one task.
 
 Rows are bucketed between quantiles of the leading key, numbered inside their bucket, and shifted by the number
-of rows in earlier buckets: one shuffle by bucket, and a table of as many rows as buckets.
+of rows in earlier buckets: one shuffle by bucket, and as many numbers as buckets on the driver.
 """
 
 from __future__ import annotations
@@ -28,13 +28,18 @@ def running(df: DataFrame, key: str, columns: dict[str, Column], descending: boo
     sign = -1 if descending else 1
     parts = bucketed(df.withColumns({f"__{n}": c for n, c in columns.items()}), key)
     parts = parts.withColumn("__bucket", F.col("__bucket") * sign)
-    sums = parts.groupBy("__bucket").agg(*(F.sum(f"__{n}").alias(f"__s_{n}") for n in columns))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
-    offsets = sums.select("__bucket", *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in columns))
+    sums = sorted(parts.groupBy("__bucket").agg(*(F.sum(f"__{n}").alias(n) for n in columns)).collect(), key=lambda r: r["__bucket"])  # as many rows as buckets
     order = [F.col(key).desc() if descending else F.col(key).asc(), *ties]
     inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = parts.select("*", *(F.sum(f"__{n}").over(inside).alias(f"__r_{n}") for n in columns)).join(F.broadcast(offsets), "__bucket")
-    return summed.select(*df.columns, *((F.col(f"__r_{n}") + F.col(f"__o_{n}")).alias(n) for n in columns))
+    out = {}
+    for n in columns:
+        before, offsets = 0, []
+        for r in sums:
+            offsets += [F.lit(r["__bucket"]), F.lit(before)]
+            before += r[n] or 0
+        total = F.sum(f"__{n}").over(inside)
+        out[n] = total + F.create_map(*offsets)[F.col("__bucket")] if offsets else total
+    return parts.select(*df.columns, *(c.alias(n) for n, c in out.items()))
 
 
 def numbered(df: DataFrame, time: str, ties: list[str], name: str = "rn") -> DataFrame:
