@@ -24,6 +24,7 @@ SAMPLE = 20_000  # bound of the sample that centers are fitted on, all labels to
 CENTERS = 4_096  # bound of the centers of all labels together
 SHARD_MOST = 4_000  # members that one search task holds; larger shards are dealt out by hash, see ``_pieces``
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
+DISTANT = 4  # random edges, so tight clumps larger than the degree are not cut off
 SATURATED = 6  # nearest candidates that keep an edge though pruning would drop it, so dense groups stay connected
 BEAM, SLACK, QUERIES = 24, 0.05, 256
 
@@ -131,7 +132,8 @@ def _built(x: np.ndarray) -> list[np.ndarray]:
             alive &= ~(ALPHA * np.maximum(among[rows, p], 0) <= np.maximum(to_query, 0))
             alive[rows[ok], p[ok]] = False
             alive[~ok] = False
-    both: list[set[int]] = [set(a) | set(near[i, :SATURATED].tolist()) for i, a in enumerate(out)]
+    distant = np.random.default_rng(n).integers(0, n, (n, DISTANT))
+    both: list[set[int]] = [(set(a) | set(distant[i].tolist())) - {i} | set(near[i, :SATURATED].tolist()) for i, a in enumerate(out)]
     for a in range(n):
         for b in list(both[a]):
             both[b].add(a)
