@@ -21,7 +21,9 @@ from .words import Words
 WORDS = 5  # words of a shingle
 PERCENT = 75  # least similarity in hundredths
 CHUNK = 1024  # members of a posting list that one task compares with as many others
-ROUNDS = 3  # rounds that link neighbours in posting lists before the rest is compared
+ROUNDS = 5  # rounds that link neighbours in posting lists before the rest is compared
+ENDS = 2  # shingles from either end of a prefix whose posting lists the first round uses
+SIGNATURE_BITS = 8  # a signature counts a set's members by their first bits
 
 
 def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
@@ -86,7 +88,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     column.append(None)
                 continue
             ordered = members[np.lexsort((members, count))]
-            for name, x in (("set_key", _set_key(members)), ("first_pos", alone), ("prefix", ordered[alone:length].tobytes()), ("signature", np.bincount((members >> np.uint64(60)).astype(np.int64), minlength=16).astype(np.int32).tobytes()), ("shingles", members.tobytes())):
+            for name, x in (("set_key", _set_key(members)), ("first_pos", alone), ("prefix", ordered[alone:length].tobytes()), ("signature", np.minimum(np.bincount((members >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), minlength=1 << SIGNATURE_BITS), 65_535).astype(np.uint16).tobytes()), ("shingles", members.tobytes())):
                 out[name].append(x)
         kinds = {"first_pos": pa.int32()}
         sizes = pa.array([len(x) for x in sets], pa.int64())
@@ -97,16 +99,22 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame) -> DataFrame:
+    """(token, rep, n, pos, end): every prefix shingle; ``end`` marks those near either end of a prefix."""
+
     def spread(batches):
         for batch in batches:
             prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
-            count = np.array([len(x) for x in prefix])
+            count = np.array([len(x) for x in prefix], np.int64)
             row = np.repeat(np.arange(len(prefix)), count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(batch.column("first_pos").to_numpy(), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            end = (place < ENDS) | (place >= np.repeat(count, count) - ENDS)
             take = lambda name: batch.column(name).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)), take("rep"), take("n_shingles"), pa.array(place.astype(np.int32)), take("signature")], ["token", "rep", "n", "pos", "sig"])
+            pos = place + np.repeat(batch.column("first_pos").to_numpy(), count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)), take("rep"), take("n_shingles"), pa.array(pos.astype(np.int32)), pa.array(end)], ["token", "rep", "n", "pos", "end"])
 
-    return sets.select("rep", "n_shingles", "first_pos", "prefix", "signature").mapInArrow(spread, "token long, rep long, n long, pos int, sig binary")
+    spread_out = sets.select("rep", "n_shingles", "first_pos", "prefix").mapInArrow(spread, "token long, rep long, n long, pos int, end boolean")
+    shared_tokens = spread_out.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    return spread_out.join(shared_tokens, "token")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +143,7 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
 
     def pairs_of(table: pa.Table):
         get = {c: table.column(c).to_numpy() for c in ("lo", "hi", "chunk", "rep", "n", "pos", "component", "token")}
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(-1, 16)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, 1 << SIGNATURE_BITS)
         change = np.flatnonzero((np.diff(get["token"]) != 0) | (np.diff(get["lo"]) != 0) | (np.diff(get["hi"]) != 0)) + 1
         found_a, found_b = [], []
         for i, j in zip([0, *change], [*change, table.num_rows]):
@@ -152,9 +160,10 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
             x, y = np.nonzero(ok)
             if same:
                 x, y = x[x < y], y[x < y]
-            for k in range(0, len(x), 200_000):
-                u, v = one[x[k : k + 200_000]], two[y[k : k + 200_000]]
-                close = np.minimum(sig[u], sig[v]).sum(1) >= _least_overlap(get["n"][u], get["n"][v], percent)
+            for k in range(0, len(x), 20_000):
+                u, v = one[x[k : k + 20_000]], two[y[k : k + 20_000]]
+                full = np.maximum(sig[u], sig[v]).max(1) == 65_535  # a count that did not fit says nothing
+                close = full | (np.minimum(sig[u], sig[v]).sum(1, dtype=np.int64) >= _least_overlap(get["n"][u], get["n"][v], percent))
                 found_a.append(get["rep"][u[close]])
                 found_b.append(get["rep"][v[close]])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
@@ -180,28 +189,39 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
 
 
 def link(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the representatives that have partners."""
+    """(node, component) of the representatives that have partners.
+
+    First, rounds link members of posting lists to their neighbours from another component, in size order and then
+    in random orders; the first round uses a few lists per set only. What the rounds leave apart is compared in all lists.
+    """
     postings = shared.materialise(_postings(sets))
+    ends = postings.where("end").drop("end")
     links = shared.materialise(sets.sparkSession.createDataFrame([], "a long, b long"))
-    found = shared.components(links)
-    near = Window.partitionBy("token").orderBy("n", "rep")
-    for _ in range(ROUNDS):
-        members = _open(postings, found)
+    found = None
+    for turn in range(ROUNDS):
+        # by size first; then in a new random order each time, which puts members of any two components side by side
+        near = Window.partitionBy("token").orderBy(*(["n", "rep"] if turn == 0 else [F.xxhash64("rep", F.lit(turn)), "rep"]))
+        members = _open(ends if turn == 0 else postings.drop("end"), found)
         before = members.select(F.col("rep").alias("b"), "n", "pos", "component", F.lag(F.struct("rep", "n", "pos", "component")).over(near).alias("p")).where("p is not null and p.component != component")
         passed = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) >= F.ceil((percent * (F.col("n") + F.col("p.n"))) / F.lit(100 + percent)))
         counted = before.where(passed).groupBy("b", F.col("p.rep").alias("a")).count()
         best = counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.negative("a"))).alias("a"))
         new = shared.materialise(_verified(best, sets, percent))
-        if new.isEmpty():
+        if not new.isEmpty():
+            links = links.union(new)
+            found = shared.components(links)
+            shared.release(sets.sparkSession)
+        elif turn > 1:
             break
-        links = links.union(new)
-        found = shared.components(links)
-    links = links.union(shared.materialise(_verified(_compared(_open(postings, found), percent), sets, percent)))
-    return shared.components(links)
+    members = _open(postings.drop("end"), found).join(sets.select("rep", F.col("signature").alias("sig")), "rep")
+    more = shared.materialise(_verified(_compared(members, percent), sets, percent))
+    return shared.components(links.union(more))
 
 
-def _open(postings: DataFrame, found: DataFrame) -> DataFrame:
+def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     """Members of the posting lists that still hold more than one component."""
+    if found is None:
+        return postings.withColumn("component", F.col("rep"))
     named = postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("token")
     return named.join(mixed, "token")
@@ -215,6 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     compared by 64-bit hashes. Result: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
     """
     rows = shared.materialise(prefixes(docs, width, percent))
+    shared.release(docs.sparkSession)
     possible = rows.where("set_key is not null and doc_id is not null")
     best = F.min_by(F.struct("n_shingles", "first_pos", "prefix", "signature", "shingles"), "doc_id")
     sets = shared.materialise(possible.groupBy("set_key").agg(F.min("doc_id").alias("rep"), best.alias("own")).select("set_key", "rep", "own.*"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,32 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of lineage that a checkpoint has cut; it does so when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition, as edges to the smallest node that they lead to within it."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, where = np.unique(np.concatenate([np.concatenate(x) for x in zip(*parts)]), return_inverse=True)
+    u, v = where[: len(where) // 2], where[len(where) // 2 :]
+    parent = np.arange(len(nodes))
+    while True:
+        low = np.minimum(parent[u], parent[v])
+        before = parent.copy()
+        np.minimum.at(parent, before[u], low)
+        np.minimum.at(parent, before[v], low)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        if (parent == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[parent])], ["u", "v"])
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links`` (a long, b long) as (node, component): the smallest reachable node.
 
@@ -38,7 +68,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ever gathered in one task's memory. Rounds grow with the logarithm of the component size. Self links keep
     their node; null ends are ignored; an empty input gives an empty result.
     """
-    edges = materialise(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    plain = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = materialise(plain.repartition("v").mapInArrow(_local_stars, "u long, v long").distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
