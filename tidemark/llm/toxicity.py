@@ -342,5 +342,6 @@ def judged(docs: DataFrame, network: Network, held_out_of: int = 5) -> DataFrame
 
 def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
     """The rows of ``docs`` that score under 0.5, all columns untouched."""
-    held = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return scored(held, network).where("score < 0.5").select("row.*")
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(F.col("text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return scored(held, network).where("score < 0.5").select(*(F.col(n).alias(c) for c, n in names.items()))
