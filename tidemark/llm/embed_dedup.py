@@ -272,5 +272,6 @@ def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESH
         return pa.table([pa.array(ids), pa.array(n.astype(np.int64))], ["vec_id", "n"])
 
     keys = ("space", "chunk", "block")
+    queries = queries.toDF(*queries.columns)  # columns of its own, apart from those of rows
     true = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n_true"))
     return true.join(found, "vec_id").agg(F.sum("n_true").alias("n_true"), F.sum(F.least("n_links", "n_true")).alias("n_found"))
