@@ -132,8 +132,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(t) if t else [] for t in texts]
-        get = self.cache.getter(split)
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return self.cache.joined(split)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         spelled = [p.encode("utf-8", "surrogatepass") for p in pieces]

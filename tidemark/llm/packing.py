@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 LENGTH = 2048
 OPEN_WINDOWS = 64
-SLICE_ROWS = 500  # documents tokenized at a time
+SLICE_ROWS = 1_000  # documents tokenized at a time
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 

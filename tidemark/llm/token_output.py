@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 LENGTH = 2048
 GROUP_TOKENS = 2_000_000  # tokens that a task holds and packs at once
-SLICE_ROWS = 500
+SLICE_ROWS = 1_000
 ROWS = "row_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
 
 

@@ -16,6 +16,10 @@ from .piece_cache import PieceCache
 
 BATCH = 20_000  # distinct words that are encoded at once
 # str.split() also splits at these, which the tokenizer takes for ordinary characters
+JOINED = 200  # words of letters that are encoded as one text
+TAILS = frozenset(".,;:!?")
+#: Beyond these, lower case is left to the tokenizer.
+ODD = re.compile("[^\x00-\u024f]|\u0130")
 CONTROL = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"[ \t-\r]+")
 
@@ -30,19 +34,41 @@ class Encoder:
         split = [x for x in (told["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         if not (split and split[0]["invert"] and split[0]["behavior"] == "Removed"):
             raise ValueError("the tokenizer keeps white space, so words can't be encoded one by one")
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = told["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.cache = PieceCache(self._encode)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(words), BATCH):
-            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words[k : k + BATCH], add_special_tokens=False)]
-        return out
+        """Ids of words; letters and the sign after them are encoded apart, as the tokenizer's own pattern splits them."""
+        base = [w[:-1] if w[-1:] in TAILS and w[-2:-1].isalpha() else w for w in words]
+        base = [b if ODD.search(b) else b.lower() for b in base]
+        known, held = {}, self.cache.held
+        plain, other = [], []
+        for b in {*base, *(w[-1] for w, b in zip(words, base) if len(b) < len(w))}:
+            if b in held:
+                known[b] = held[b]
+                continue
+            (plain if b.isalpha() and not ODD.search(b) else other).append(b)
+        for k in range(0, len(plain), JOINED * 100):
+            some = plain[k : k + JOINED * 100]
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([" ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)], add_special_tokens=False)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                other += some
+                continue
+            data, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:])]))
+        for k in range(0, len(other), BATCH):
+            some = other[k : k + BATCH]
+            known.update(zip(some, [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
+        return [known[b] + known[w[-1]] if len(b) < len(w) and w[-1:] in TAILS and w[-2:-1].isalpha() else known[b] for w, b in zip(words, base)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         split = [[] if not t else SPACE.split(t.strip(" \t\n\r\x0b\x0c")) if CONTROL.search(t) else t.split() for t in texts]
-        get = self.cache.getter(split)
-        return [b"".join(map(get, words)) for words in split]
+        return self.cache.joined(split)
 
 
 @lru_cache(maxsize=2)
