@@ -354,6 +354,26 @@ def test_embedding_graph(spark):
     assert embed_dedup.near_duplicates(df.where("false")).isEmpty()
 
 
+def near_copies(spark, seed, copies, others):
+    """Vectors of one label: near copies of one vector and unrelated ones; and the links of each."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(scale=0.25, size=(copies, 16)), rng.normal(size=(others, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, row, 0) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    return df, ((unit @ unit.T >= 0.93).sum(1) - 1).tolist()
+
+
+def test_links_of_split_shards_are_counted(spark, monkeypatch):
+    """Shards beyond the bound of one task still count every link, once."""
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embed_dedup, "SHARD_MOST", 60)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 90, raising=False)
+    df, links = near_copies(spark, 6, 120, 280)
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(links))] == links
+    assert {got[i]["component_id"] for i in range(120)} == {0}
+
+
 def test_pipeline_stages(spark, tmp_path):
     """The pipeline against its stages' own definitions on a small corpus."""
     import corpus_pipeline

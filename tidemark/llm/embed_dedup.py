@@ -4,7 +4,8 @@ Vectors of one label are dealt to overlapping cluster shards. Each shard builds
 members (nearest candidates, robust-pruned, both directions); lists of a vector from all its shards are united.
 Every vector is then searched in its shards over the united lists: greedily from the shard's medoid, and on
 through all neighbours while they are near the link threshold. Found pairs are verified by their cosine in
-double precision. Identical vectors are one node with a weight, and shards return counts and one link to a local
+double precision. A shard that is too large for one graph is dealt to chunks by hash, and every two of its chunks
+are compared exactly, so two vectors that share a shard always meet. Identical vectors are one node with a weight, and shards return counts and one link to a local
 root per vector, so groups of copies never become lists of pairs.
 """
 
@@ -22,7 +23,8 @@ SHARD_ROWS = 1_000  # vectors for each cluster center
 OVERLAP = 3  # shards that a vector belongs to
 SAMPLE = 20_000  # bound of the sample that centers are fitted on, all labels together
 CENTERS = 4_096  # bound of the centers of all labels together
-SHARD_MOST = 4_000  # members that one search task holds; larger shards are dealt out by hash, see ``_pieces``
+SHARD_MOST = 4_000  # members of a shard that is searched as a graph; larger ones are compared chunk by chunk, see ``_compared``
+CHUNK = 16_000  # members of a larger shard that one task compares with as many others
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 DISTANT = 4  # random edges, so tight clumps larger than the degree are not cut off
 SATURATED = 6  # nearest candidates that keep an edge though pruning would drop it, so dense groups stay connected
@@ -74,11 +76,7 @@ def _centers(nodes: DataFrame) -> dict[tuple, np.ndarray]:
 
 
 def _pieces(nodes: DataFrame, centers: dict) -> DataFrame:
-    """(space, shard, shards, node, weight, unit): every vector in its nearest shards.
-
-    A shard that holds more than SHARD_MOST vectors is dealt to pieces by the bits of the vector's projections
-    on fixed directions, so near copies stay together and a piece stays within a task.
-    """
+    """(space, node, weight, unit, shards): every vector with its nearest shards."""
     held = nodes.sparkSession.sparkContext.broadcast(centers)  # CENTERS vectors at most
 
     def assign(batches):
@@ -181,6 +179,35 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarr
             return parent
 
 
+def _compared(rows: pa.Table, threshold: float) -> pa.Table:
+    """(node, links, root) of two chunks of a shard, or of one with itself, by all cosines.
+
+    Pairs that share an earlier shard add to the roots only; they are counted there.
+    """
+    one, two = (rows.column(c)[0].as_py() for c in ("one", "two"))
+    node, weight, mine = (rows.column(c).to_numpy() for c in ("node", "weight", "mine"))
+    x, here = _matrix(rows.column("unit")), rows.column("shard")[0].as_py()
+    earlier = np.full((len(node), OVERLAP - 1), -1)
+    for i, own in enumerate(rows.column("shards").to_pylist()):
+        own = [k for k in own if k < here]
+        earlier[i, : len(own)] = own
+    left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+    links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
+    held = x[right]
+    for i in range(0, len(left), QUERIES):
+        at = left[i : i + QUERIES]
+        near = (x[at] @ held.T >= threshold) & (node[at][:, None] != node[right])
+        a, b = np.nonzero(near & (parent[at][:, None] != parent[right]))
+        parent = _roots(len(node), at[a], right[b], parent)
+        for j in range(OVERLAP - 1):
+            for k in range(OVERLAP - 1):
+                near &= (earlier[at, j][:, None] != earlier[right, k]) | (earlier[at, j] < 0)[:, None]
+        links[at] += near @ weight[right]
+        if one != two:
+            links[right] += weight[at] @ near
+    return pa.table([pa.array(node), pa.array(links), pa.array(node[parent])], ["node", "links", "root"])
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links between ``vectors`` (vec_id, embedding, label; other columns are ignored) of equal, non-null label.
 
@@ -198,27 +225,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     pieces = _pieces(nodes, _centers(nodes))
     dealt = pieces.withColumn("shard", F.explode("shards"))
     size = dealt.groupBy("space", "shard").agg(F.count("*").alias("size"))
-    large = [(r["space"], r["shard"], r["size"]) for r in size.where(F.col("size") > SHARD_MOST).orderBy(F.desc("size")).limit(CENTERS).collect()]  # CENTERS rows at most
-    bits = {(a, b): int(np.ceil(np.log2(n / SHARD_MOST))) for a, b, n in large}
+    large = size.where(F.col("size") > SHARD_MOST).collect()  # each row stands for more than SHARD_MOST members
+    chunks = {(r["space"], r["shard"]): -(-r["size"] // CHUNK) for r in large}
 
     def split(batches):
         for batch in batches:
-            out = []
-            for space, shard, unit in zip(*(batch.column(c).to_pylist() for c in ("space", "shard", "unit"))):
-                b = bits.get((space, shard), 0)
-                v = np.frombuffer(unit, np.float64)
-                planes = np.random.default_rng(shard + 1).normal(size=(b, len(v))) if b else None
-                out.append(int("".join("1" if y > 0 else "0" for y in planes @ v), 2) if b else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "piece"])
+            out = [chunks.get(key, 0) for key in zip(batch.column("space").to_pylist(), batch.column("shard").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "chunks"])
 
-    dealt = dealt.mapInArrow(split, "space string, node long, weight long, unit binary, shards array<int>, shard int, piece int")
+    dealt = dealt.mapInArrow(split, "space string, node long, weight long, unit binary, shards array<int>, shard int, chunks int")
+    whole = dealt.where("chunks = 0").drop("chunks")
 
     def build(rows):
         node = rows.column("node").to_numpy()
         lists = _built(_matrix(rows.column("unit")))
         return pa.table([pa.array(node), pa.array([node[x] for x in lists], pa.list_(pa.int64()))], ["node", "near"])
 
-    lists = dealt.groupBy("space", "shard", "piece").applyInArrow(build, "node long, near array<long>")
+    lists = whole.groupBy("space", "shard").applyInArrow(build, "node long, near array<long>")
     united = shared.materialise(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     def search(rows):
@@ -245,8 +268,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             parent = _roots(len(node), a, b, parent)
         return pa.table([pa.array(node), pa.array(links), pa.array(node[parent])], ["node", "links", "root"])
 
-    ready = dealt.join(united, "node")
-    found = shared.materialise(ready.groupBy("space", "shard", "piece").applyInArrow(search, "node long, links long, root long"))
+    ready = whole.join(united, "node")
+    found = ready.groupBy("space", "shard").applyInArrow(search, "node long, links long, root long")
+    if chunks:
+        mine = dealt.where("chunks > 0").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
+        found = found.union(pairs.groupBy("space", "shard", "one", "two").applyInArrow(lambda rows: _compared(rows, threshold), "node long, links long, root long"))
+    found = shared.materialise(found)
     component = shared.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(component, "node")
     named = nodes.select("same", "node", "weight").join(linked, "node")
