@@ -374,6 +374,16 @@ def test_links_of_split_shards_are_counted(spark, monkeypatch):
     assert {got[i]["component_id"] for i in range(120)} == {0}
 
 
+def test_group_of_many_centers_is_whole(spark, monkeypatch):
+    """A group that draws many cluster centers loses no link, and none is counted twice."""
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 20)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 100)
+    monkeypatch.setattr(embed_dedup, "SHARD_MOST", 150)
+    df, links = near_copies(spark, 7, 300, 100)
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(links))] == links
+
+
 def test_pipeline_stages(spark, tmp_path):
     """The pipeline against its stages' own definitions on a small corpus."""
     import corpus_pipeline

@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Vectors of one label are dealt to overlapping cluster shards. Each shard builds the adjacency lists of its
+Vectors of one label are dealt to overlapping cluster shards; clusters whose centers are as near as linked vectors
+are one shard. Each shard builds the adjacency lists of its
 members (nearest candidates, robust-pruned, both directions); lists of a vector from all its shards are united.
 Every vector is then searched in its shards over the united lists: greedily from the shard's medoid, and on
 through all neighbours while they are near the link threshold. Found pairs are verified by their cosine in
@@ -75,9 +76,25 @@ def _centers(nodes: DataFrame) -> dict[tuple, np.ndarray]:
     return out
 
 
-def _pieces(nodes: DataFrame, centers: dict) -> DataFrame:
+def _regions(centers: np.ndarray, threshold: float) -> np.ndarray:
+    """Each center's shard: the smallest center that it reaches through centers as near as linked vectors.
+
+    Centers of parts of a group whose members all link have a cosine of the threshold or more, as the mean of the
+    members' cosines is, so such a group is one shard however many centers fall into it.
+    """
+    root, near = np.arange(len(centers)), [np.flatnonzero(c @ centers.T >= threshold) for c in centers]
+    a = np.repeat(root, [len(x) for x in near])
+    return _roots(len(root), a, np.concatenate(near), root) if len(a) else root
+
+
+def _pieces(nodes: DataFrame, centers: dict, threshold: float) -> DataFrame:
     """(space, node, weight, unit, shards): every vector with its nearest shards."""
-    held = nodes.sparkSession.sparkContext.broadcast(centers)  # CENTERS vectors at most
+    ordered = {}  # centers by shard, the shards and the place of each one's first center
+    for space, c in centers.items():
+        region = _regions(c, threshold)
+        order = np.argsort(region, kind="stable")
+        ordered[space] = c[order], *np.unique(region[order], return_index=True)
+    held = nodes.sparkSession.sparkContext.broadcast(ordered)  # CENTERS vectors at most
 
     def assign(batches):
         for batch in batches:
@@ -85,13 +102,13 @@ def _pieces(nodes: DataFrame, centers: dict) -> DataFrame:
             shards: list = [None] * len(rows)
             for space in set(spaces.tolist()):
                 at = np.flatnonzero(spaces == space)
-                c = held.value.get(space)
+                c, names, first = held.value.get(space, (None, None, None))
                 if c is None:
                     for i in at.tolist():
                         shards[i] = [0]
                     continue
                 x = np.frombuffer(b"".join(rows[i] for i in at), np.float64).reshape(len(at), -1)
-                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+                near = names[np.argsort(-np.maximum.reduceat(x @ c.T, first, axis=1), axis=1, kind="stable")[:, :OVERLAP]]
                 for i, own in zip(at.tolist(), np.sort(near, 1).tolist()):
                     shards[i] = own
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("space", "node", "weight", "unit")), pa.array(shards, pa.list_(pa.int32()))], ["space", "node", "weight", "unit", "shards"])
@@ -222,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     placed = units.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), space.alias("space"), "unit", F.unhex(F.md5(F.concat(F.encode(space, "utf-8"), F.col("unit")))).alias("same"))
     nodes = shared.materialise(placed.groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("space").alias("space"), F.first("unit").alias("unit")))
     # repeated ids make one node of several vectors; their lists then only grow
-    pieces = _pieces(nodes, _centers(nodes))
+    pieces = _pieces(nodes, _centers(nodes), threshold)
     dealt = pieces.withColumn("shard", F.explode("shards"))
     size = dealt.groupBy("space", "shard").agg(F.count("*").alias("size"))
     large = size.where(F.col("size") > SHARD_MOST).collect()  # each row stands for more than SHARD_MOST members
