@@ -279,6 +279,20 @@ def test_quality_classifier(spark, odd, empty):
     assert kept.columns == odd.columns and Counter(map(tuple, kept.collect())) == Counter(map(tuple, odd.collect()))
 
 
+def test_rare_language_has_its_own_threshold(spark):
+    """A language with few of the trusted texts is fitted and judged by its own, however small the fitted sample is."""
+    data, good, _ = labelled_prose(600, 8)
+    rare = [(1000 + i, " ".join("".join(chr(0x430 + (ord(c) * 7 + i) % 5) for c in w) for w in t.split(" ")).replace("$", ""), "ru") for i, t, _ in data[:12]]
+    docs = spark.createDataFrame(data + rare, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([*enumerate(good), *((i, 1) for i, _, _ in rare)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.judged(docs, labels, trusted_rows=30).collect()}
+    limit = {r["lang"]: r["threshold"] for r in got.values()}
+    assert len(limit) == 3 and limit["ru"] not in (limit["en"], limit["fr"])
+    for lang in ("en", "fr"):  # thresholds are of all trusted texts: those of two fifths of a sample of 30 would reject many
+        kept = [got[i]["kept"] for i, _, own in data if own == lang and good[i]]
+        assert sum(kept) >= 0.985 * len(kept)
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all symbols after any context, interpolated probabilities add up to one."""
     docs = spark.createDataFrame([("abab abc cab",), ("aab bca abc",)], "text string")
