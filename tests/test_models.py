@@ -33,3 +33,13 @@ def test_contract(spark, synth, make, ranked):
     assert (found is not None) == ranked
     if ranked:
         assert [v for _, v in found] == sorted((v for _, v in found), reverse=True)
+
+
+def test_registered_compression_takes_whole_vectors(spark, tmp_path):
+    from tidemark import catalog
+
+    spark.createDataFrame([(0, 1, [float(i) for i in range(64)])], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    names = [f"V{i}" for i in range(1, 65)]
+    assert catalog._wide_vectors(spark, str(tmp_path)).columns == ["vec_id", "label", *names]
+    own = catalog._compressor()
+    assert [c for g in own.groups.values() for c in g] == names and (own.cap, own.starts) == (12, 10)

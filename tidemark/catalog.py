@@ -515,12 +515,12 @@ def fixed_center_features(spark, d):
     return out.select("vec_id", "v_cluster", r6(F.col("v_cluster_dist"), "v_cluster_dist"), r6(F.col("v_cluster_margin"), "v_cluster_margin"))
 
 
-def _wide_vectors(spark, d, n=16):
+def _wide_vectors(spark, d, n=64):
     return table(spark, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(n)))
 
 
 def _compressor():
-    return unsup.GroupCompressor({0: [f"V{i}" for i in range(1, 9)], 1: [f"V{i}" for i in range(9, 17)]}, cap=4, starts=2)
+    return unsup.GroupCompressor({0: [f"V{i}" for i in range(1, 33)], 1: [f"V{i}" for i in range(33, 65)]})
 
 
 @query()
@@ -542,4 +542,4 @@ def stability_sweep(spark, d):
 
 @query()
 def pca_profile(spark, d):
-    return unsup.pca_profile(_wide_vectors(spark, d), [f"V{i}" for i in range(1, 17)])
+    return unsup.pca_profile(_wide_vectors(spark, d), [f"V{i}" for i in range(1, 65)])
