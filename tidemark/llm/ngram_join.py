@@ -3,9 +3,10 @@
 Shingles are counted over all documents with the sharded exchange of ``blocks``. Each text orders its shingles
 from rare to frequent; two texts that reach the threshold share one of the first n - ceil(t n) + 1. A shingle of
 one text only can't be shared, so a text whose prefix holds nothing else has no partner and is done. Equal sets
-become one representative; representatives meet on prefix shingles under length, positional and suffix filters,
-and each pair that is left is verified once on the whole sets. Pairs whose ends are already linked through
-others need no verification, so a group of near copies costs about one pair for each member.
+become one representative; representatives meet on prefix shingles under length and positional filters and, in
+place of a suffix filter, a bound of the overlap from counts of the members' first SIGNATURE_BITS bits. Each pair
+that is left is verified once on the whole sets. Pairs whose ends are already linked through others need no
+verification, so a group of near copies costs about one pair for each member.
 """
 
 from __future__ import annotations
