@@ -1,9 +1,11 @@
-"""Document blocks and the sharded count exchange.
+"""Document blocks and the sharded exchange of keys and answers.
 
 Documents are dealt to blocks of bounded text size. A block asks shards (ranges of a 64-bit key space) about
-its distinct keys, a shard merges what all blocks sent, and answers go back aligned with the question. Keys
-cross the network once as packed, sorted deltas; answers as packed counts. Nothing reaches the driver, and
-block and shard numbers follow the size of the input.
+its distinct keys, and answers go back aligned with the question. Keys travel as packed, sorted deltas in one or
+more hops. In a hop a sorted run of keys is cut into at most FAN slices, one for each part of its range; the slices
+of FAN runs for one part are merged into one run, which is about as long as theirs were. After the last hop a range
+holds what all blocks asked. So B blocks send at most B * FAN rows in a hop, one hop is enough for FAN blocks, two
+for FAN ** 2, and no task holds more than FAN slices. Nothing reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
+
 BLOCK_BYTES = 8_000_000  # text bytes of a block
 FLUSH_BYTES = 32_000_000  # rows that a map task holds before it emits packed blocks
-ASKED = "__block int, __shard int, level int, keys binary, counts binary"
-ANSWERED = "__block int, __shard int, level int, counts binary, stats binary"
+FAN = 512  # slices that a run of keys is cut into, and runs that are merged, in one hop at most
+PARTITIONS = 100_000  # partitions at most; more blocks than that share them
+ASKED = "__range long, __group long, asker long, level int, keys binary, counts binary"
+ANSWERED = "__range long, asker long, level int, parts array<binary>, stats binary"
 
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
@@ -42,7 +48,7 @@ def pack(docs: DataFrame, blocks: int, *, by: tuple[str, ...]) -> DataFrame:
         if held:
             yield from _flush(held)
 
-    return keyed.mapInArrow(deal, "__block int, __data binary").repartition(blocks, "__block")
+    return keyed.mapInArrow(deal, "__block int, __data binary").repartition(min(blocks, PARTITIONS), "__block")
 
 
 def _flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,13 +93,6 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's slice of the sorted ``keys`` begins; shards are equal ranges of the upper 32 bits."""
-    starts = (np.arange(shards + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(shards)
-    cuts = np.searchsorted(keys >> np.uint64(32), starts[:-1], side="left")
-    return np.append(cuts, len(keys))
-
-
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Order-sensitive 64-bit mixing of two hashes."""
     with np.errstate(over="ignore"):
@@ -103,62 +102,144 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def ask(packed: DataFrame, shards: int, keys_of: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """One row per block, shard and level: the block's distinct sorted keys in the shard, with their local counts.
+def radices(blocks: int, fan: int) -> list[int]:
+    """Slices of a run in each hop among so many blocks: as few hops as ``fan`` allows, all alike."""
+    hops = 1
+    while fan**hops < blocks:
+        hops += 1
+    radix = max(1, round(blocks ** (1 / hops)))
+    while radix**hops < blocks:
+        radix += 1
+    return [radix] * hops
+
+
+def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key; shards are equal ranges of the upper 32 bits."""
+    return np.searchsorted((np.arange(shards, dtype=np.uint64) << np.uint64(32)) // np.uint64(shards), keys >> np.uint64(32), side="right") - 1
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.table([pa.array(x, kinds[t]) for x, (_, t) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray | None, parent: int, ranges: int, radix: int, asker: int, level: int) -> list[tuple]:
+    """A run of keys of range ``parent``, in slices for each of its parts; ``ranges`` counts all parts of the key space."""
+    part = np.arange(parent * radix, (parent + 1) * radix, dtype=np.uint64)
+    cuts = [*np.searchsorted(keys >> np.uint64(32), (part << np.uint64(32)) // np.uint64(ranges)).tolist(), len(keys)]
+    cuts[0] = 0
+    return [(int(p), asker // radix, asker, level, pack_keys(keys[i:j]), b"" if counts is None else planes(counts[i:j])) for p, i, j in zip(part, cuts, cuts[1:])]
+
 
-    ``keys_of`` returns for each level sorted uint64 keys and uint32 counts.
+def _levels(rows: pa.Table) -> Iterator[tuple[int, pa.Table, list[np.ndarray]]]:
+    levels = rows.column("level").to_numpy()
+    for level in np.unique(levels).tolist():
+        part = rows.filter(pa.array(levels == level))
+        yield level, part, [unpack_keys(x) for x in part.column("keys").to_pylist()]
+
+
+def _summed(part: pa.Table, where: np.ndarray, size: int) -> np.ndarray | None:
+    counts = [from_planes(x, np.uint32) for x in part.column("counts").to_pylist()]
+    return np.bincount(where, np.concatenate(counts), size).astype(np.int64) if sum(map(len, counts)) == len(where) and len(where) else None
+
+
+class Exchange:
+    """Questions of ``blocks`` packed blocks and the way of answers back to them.
+
+    ``keys_of`` gives for the documents of a block and each level, from 1 on, the distinct sorted uint64 keys and,
+    or None, uint32 counts. ``kinds`` are the number types of the parts of an answer.
     """
 
-    def asked(packed_block):
-        block = packed_block.column("__block")[0].as_py()
-        rows: list[list] = [[], [], [], [], []]
-        for level, (keys, counts) in enumerate(keys_of(unpack(packed_block)), 1):
-            cuts = shard_bounds(keys, shards)
-            for s in range(shards):
-                i, j = cuts[s], cuts[s + 1]
-                for column, x in zip(rows, (block, s, level, pack_keys(keys[i:j]), planes(counts[i:j]))):
-                    column.append(x)
-        return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["__block", "__shard", "level", "keys", "counts"])
+    def __init__(self, packed: DataFrame, blocks: int, keys_of: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray | None]]], kinds: tuple[type, ...], fan: int | None = None):
+        self.radix, self.kinds = radices(blocks, fan or FAN), kinds
+        self.shards = math.prod(self.radix)
+        first = self.radix[0]
+
+        def asked(block: pa.Table) -> pa.Table:
+            memory.release()
+            asker = block.column("__block")[0].as_py()
+            return _rows(ASKED, [row for level, (keys, counts) in enumerate(keys_of(unpack(block)), 1) for row in _cut(keys, counts, 0, first, first, asker, level)])
+
+        self.hops = [packed.groupBy("__block").applyInArrow(asked, ASKED)]
+        for k, radix in enumerate(self.radix[1:], 2):
+            self.hops.append(self.hops[-1].groupBy("__range", "__group").applyInArrow(_merge(math.prod(self.radix[:k]), radix), ASKED))
+
+    @property
+    def questions(self) -> DataFrame:
+        """What each shard is asked, dealt to tasks by ``__range``, the shard's number."""
+        return self.hops[-1].repartition(min(self.shards, PARTITIONS), "__range")
+
+    def back(self, answers: DataFrame) -> DataFrame:
+        """(__block, __range, level, parts, stats): answers of shards (see ANSWERED), handed back hop by hop."""
+        for asked, radix in zip(self.hops[-2::-1], self.radix[:0:-1]):
+            given = answers.select(F.expr(f"__range div {radix}").alias("__range"), F.col("asker").alias("__group"), F.col("__range").alias("part"), "level", "parts", "stats")
+            answers = asked.groupBy("__range", "__group").cogroup(given.groupBy("__range", "__group")).applyInArrow(_hand_back(self.kinds), ANSWERED)
+        return answers.select(F.col("asker").cast("int").alias("__block"), "__range", "level", "parts", "stats")
+
+
+def _merge(ranges: int, radix: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def merged(key: tuple, rows: pa.Table) -> pa.Table:
+        parent, group = (x.as_py() for x in key)
+        out: list[tuple] = []
+        for level, part, keys in _levels(rows):
+            found, where = np.unique(np.concatenate(keys), return_inverse=True)
+            total = _summed(part, where, len(found))
+            out += _cut(found, None if total is None else total.astype(np.uint32), parent, ranges, radix, group, level)
+        return _rows(ASKED, out)
+
+    return merged
+
+
+def _hand_back(kinds: tuple[type, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def handed(asked: pa.Table, given: pa.Table) -> pa.Table:
+        got, out = answers_by_level(given.rename_columns(["__range" if c == "part" else f"own{c}" if c == "__range" else c for c in given.schema.names]), kinds), []
+        for level, part, keys in _levels(asked):
+            found = np.unique(np.concatenate(keys))
+            values, stats = got[level]
+            stats = None if stats is None else stats.tobytes()
+            for own, asker, k in zip(part.column("__range").to_pylist(), part.column("asker").to_pylist(), keys):
+                at = np.searchsorted(found, k)
+                out.append((own, asker, level, [planes(x[at]) for x in values], stats))
+        return _rows(ANSWERED, out)
 
-    return packed.groupBy("__block").applyInArrow(asked, ASKED)
+    return handed
 
 
-def answer_counts(asked: DataFrame, shards: int) -> DataFrame:
+def counts(packed: DataFrame, blocks: int, keys_of: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray | None]]], fan: int | None = None) -> DataFrame:
     """Each block gets, aligned with what it asked, the key's count summed over all blocks.
 
     stats holds, per shard and level: total count, keys counted, keys counted once, keys counted twice.
     """
+    exchange = Exchange(packed, blocks, keys_of, (np.uint64,), fan)
 
-    def answered(key, rows):
-        out: list[list] = [[], [], [], [], []]
-        levels = rows.column("level").to_numpy()
-        for level in np.unique(levels):
-            part = rows.filter(pa.array(levels == level))
-            keys = [unpack_keys(x) for x in part.column("keys").to_pylist()]
-            counts = [from_planes(x, np.uint32) for x in part.column("counts").to_pylist()]
+    def answered(key: tuple, rows: pa.Table) -> pa.Table:
+        shard, out = key[0].as_py(), []
+        for level, part, keys in _levels(rows):
             found, where = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64)
+            total = _summed(part, where, len(found))
+            total = np.zeros(len(found), np.int64) if total is None else total
             stats = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64).tobytes()
             at = 0
-            for block, k in zip(part.column("__block").to_pylist(), keys):
-                mine = total[where[at : at + len(k)]].astype(np.uint64)
+            for asker, k in zip(part.column("asker").to_pylist(), keys):
+                out.append((shard, asker, level, [planes(total[where[at : at + len(k)]].astype(np.uint64))], stats))
                 at += len(k)
-                for column, x in zip(out, (block, key[0].as_py(), int(level), planes(mine), stats)):
-                    column.append(x)
-        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["__block", "__shard", "level", "counts", "stats"])
+        return _rows(ANSWERED, out)
 
-    return asked.repartition(shards, "__shard").groupBy("__shard").applyInArrow(answered, ANSWERED)
+    return exchange.back(exchange.questions.groupBy("__range").applyInArrow(answered, ANSWERED))
 
 
-def answers_by_level(answers: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per level: counts aligned with the block's sorted keys, and the summed stats of all shards."""
-    table = answers.sort_by([("level", "ascending"), ("__shard", "ascending")])
+def answers_by_level(answers: pa.Table, kinds: tuple[type, ...]) -> dict[int, tuple[list[np.ndarray], np.ndarray | None]]:
+    """Per level: the parts of the answers, aligned with the block's sorted keys, and the summed stats of all shards."""
+    table = answers.sort_by([("level", "ascending"), ("__range", "ascending")])
     out: dict[int, tuple[list, list]] = {}
-    for level, counts, stats in zip(*(table.column(c).to_pylist() for c in ("level", "counts", "stats"))):
+    for level, parts, stats in zip(*(table.column(c).to_pylist() for c in ("level", "parts", "stats"))):
         got = out.setdefault(level, ([], []))
-        got[0].append(from_planes(counts, np.uint64))
-        got[1].append(np.frombuffer(stats, np.int64))
-    return {k: (np.concatenate(a).astype(np.int64), np.sum(b, axis=0)) for k, (a, b) in out.items()}
+        got[0].append(parts)
+        if stats is not None:
+            got[1].append(np.frombuffer(stats, np.int64))
+    return {k: ([np.concatenate([from_planes(x[i], kind) for x in a]) for i, kind in enumerate(kinds)], np.sum(b, axis=0) if b else None) for k, (a, b) in out.items()}
 
 
 def finish(packed: DataFrame, answers: DataFrame, last: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
 from .piece_cache import PieceCache
 
 NONE = np.int32(2**31 - 1)
@@ -156,6 +157,9 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(read_ranks(ranks_path), pattern)
 
 
+memory.on_release(codec.cache_clear)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text; other columns are ignored) and decode the ids again.
 

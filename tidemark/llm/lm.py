@@ -150,11 +150,11 @@ def score(docs: DataFrame, order: int = 2, mu: float = MU, held_out_of: int = 10
         return Grams(blocks.texts_of(table), order).counted(~table.column("held_out").to_numpy(zero_copy_only=False))
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, got = Grams(blocks.texts_of(table), order), blocks.answers_by_level(answers)
+        grams, got = Grams(blocks.texts_of(table), order), blocks.answers_by_level(answers, (np.uint64,))
         counts = []
         for level in range(order):
             by_rank = np.empty(len(grams.keys[level]), np.int64)
-            by_rank[grams.sorted_by_key(level)] = got[level + 1][0]
+            by_rank[grams.sorted_by_key(level)] = got[level + 1][0][0].astype(np.int64)
             counts.append(by_rank)
         tokens, distinct, once, twice = _training(counts, got[1][1], int(grams.ids[0]) if len(grams.ids) else 0)
         logp = Automaton(grams, counts, tokens, distinct, once, twice, mu).walk(grams)
@@ -166,6 +166,6 @@ def score(docs: DataFrame, order: int = 2, mu: float = MU, held_out_of: int = 10
         columns = [table.column("doc_id"), table.column("held_out"), pa.array(np.diff(grams.starts) - 1), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(table.num_rows, tokens, np.int64)), pa.array(total(base)), pa.array(total(logp))]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = blocks.answer_counts(blocks.ask(packed, n, keys_of), n)
+    answers = blocks.counts(packed, n, keys_of)
     kind = dict(docs.dtypes)["doc_id"]
     return blocks.finish(packed, answers, last, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

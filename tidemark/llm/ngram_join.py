@@ -3,17 +3,23 @@
 Shingles are counted over all documents with the sharded exchange of ``blocks``. Each text orders its shingles
 from rare to frequent; two texts that reach the threshold share one of the first n - ceil(t n) + 1. A shingle of
 one text only can't be shared, so a text whose prefix holds nothing else has no partner and is done. Equal sets
-become one representative; representatives meet on prefix shingles under length and positional filters and, in
-place of a suffix filter, a bound of the overlap from counts of the members' first SIGNATURE_BITS bits. Each pair
-that is left is verified once on the whole sets. Pairs whose ends are already linked through others need no
-verification, so a group of near copies costs about one pair for each member.
+become one representative. Representatives meet in lists, one for each prefix shingle and band of set sizes, where
+partners are in the same band or the next (length filter). The positional filter bounds what two sets share from the
+places of the shingle, the suffix filter from the suffixes behind it: these are cut at fixed pivots, equal parts of
+the hash space, and share at most the smaller count of each part. Both hold at the first shingle that two sets share.
+A pair that passes is verified on the whole sets, once: pairs that were verified are remembered, and pairs whose ends
+are linked through others need no verification, so a group of near copies costs about one pair for each member.
+Long lists are split at random for linking, and at the end compared chunk by chunk, only with the members outside
+their largest class.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, shared
@@ -21,10 +27,11 @@ from .words import Words
 
 WORDS = 5  # words of a shingle
 PERCENT = 75  # least similarity in hundredths
-CHUNK = 1024  # members of a posting list that one task compares with as many others
-ROUNDS = 5  # rounds that link neighbours in posting lists before the rest is compared
-ENDS = 2  # shingles from either end of a prefix whose posting lists the first round uses
-SIGNATURE_BITS = 8  # a signature counts a set's members by their first bits
+CHUNK = 1024  # members of a list that are compared with as many others at once, or sorted together for linking
+ROUNDS = 4  # rounds that link neighbours in lists before the rest is compared
+PIVOT_BITS = 6  # a suffix is cut into 2 ** PIVOT_BITS parts
+FULL = 255  # a count that does not fit says nothing
+SALTS = 16  # tasks that the copies of one set are dealt to when they get their class
 
 
 def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
@@ -63,8 +70,19 @@ def _set_key(members: np.ndarray) -> bytes:
     return np.array([np.add.reduce(one), np.bitwise_xor.reduce(two)], np.uint64).tobytes() + len(members).to_bytes(8, "little")
 
 
+def _suffixes(ordered: np.ndarray, first: int, last: int) -> bytes:
+    """For each place from ``first`` to ``last`` of a set in its order, the counts of the members behind it by part."""
+    part = (ordered >> np.uint64(64 - PIVOT_BITS)).astype(np.int64)
+    counts = np.zeros((last - first, 1 << PIVOT_BITS), np.int64)
+    counts[-1] = np.bincount(part[last:], minlength=1 << PIVOT_BITS)
+    for k in range(last - first - 2, -1, -1):
+        counts[k] = counts[k + 1]
+        counts[k, part[first + k + 1]] += 1
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document its set size and, where a partner is possible, set key, prefix, signature and the set."""
+    """Per document its set size and, where a partner is possible, set key, place and length of the prefix, and the set in its order."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = blocks.block_count(own)
     packed = blocks.pack(own, n, by=("doc_id", "text"))
@@ -77,8 +95,8 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def last(table, answers):
         sets = shingle_sets(blocks.texts_of(table), width)
         keys = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-        counts = blocks.answers_by_level(answers)[1][0]
-        out: dict[str, list] = {k: [] for k in ("set_key", "first_pos", "prefix", "signature", "shingles")}
+        counts = blocks.answers_by_level(answers, (np.uint64,))[1][0][0]
+        out: dict[str, list] = {k: [] for k in ("set_key", "first_pos", "prefix_end", "shingles")}
         for members in sets:
             size = len(members)
             count = counts[np.searchsorted(keys, members)]
@@ -89,86 +107,139 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     column.append(None)
                 continue
             ordered = members[np.lexsort((members, count))]
-            for name, x in (("set_key", _set_key(members)), ("first_pos", alone), ("prefix", ordered[alone:length].tobytes()), ("signature", np.minimum(np.bincount((members >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), minlength=1 << SIGNATURE_BITS), 65_535).astype(np.uint16).tobytes()), ("shingles", members.tobytes())):
+            for name, x in (("set_key", _set_key(members)), ("first_pos", alone), ("prefix_end", length), ("shingles", ordered.tobytes())):
                 out[name].append(x)
-        kinds = {"first_pos": pa.int32()}
+        kinds = {"first_pos": pa.int32(), "prefix_end": pa.int32()}
         sizes = pa.array([len(x) for x in sets], pa.int64())
         return pa.table([table.column("doc_id"), sizes, *(pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items())], ["doc_id", "n_shingles", *out])
 
-    answers = blocks.answer_counts(blocks.ask(packed, n, keys_of), n)
-    return blocks.finish(packed, answers, last, "doc_id long, n_shingles long, set_key binary, first_pos int, prefix binary, signature binary, shingles binary")
+    return blocks.finish(packed, blocks.counts(packed, n, keys_of), last, "doc_id long, n_shingles long, set_key binary, first_pos int, prefix_end int, shingles binary")
+
 
+def _band(n: Column, percent: int) -> Column:
+    """Bands of set sizes, such that partners are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else n.cast("int")
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(token, rep, n, pos, end): every prefix shingle; ``end`` marks those near either end of a prefix."""
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, band, guest, rep, n, pos, suffix): prefix shingles that several sets share.
+
+    Every set is in the list of its own band and, as a guest, in that of the band below; guests meet no guests.
+    """
 
     def spread(batches):
         for batch in batches:
-            prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
-            count = np.array([len(x) for x in prefix], np.int64)
-            row = np.repeat(np.arange(len(prefix)), count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            end = (place < ENDS) | (place >= np.repeat(count, count) - ENDS)
+            places = [np.arange(a, b) for a, b in zip(batch.column("first_pos").to_pylist(), batch.column("prefix_end").to_pylist())]
+            ordered = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            row = np.repeat(np.arange(len(places)), [len(x) for x in places])
+            suffix = b"".join(_suffixes(x, p[0], p[-1] + 1) for x, p in zip(ordered, places))
+            token = np.concatenate([x[p] for x, p in zip(ordered, places)] or [np.empty(0, np.uint64)]).view(np.int64)
+            pos = np.concatenate(places or [np.empty(0, np.int64)]).astype(np.int32)
+            parts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1 << PIVOT_BITS), len(row), [None, pa.py_buffer(suffix)]).cast(pa.binary())
             take = lambda name: batch.column(name).take(pa.array(row))
-            pos = place + np.repeat(batch.column("first_pos").to_numpy(), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)), take("rep"), take("n_shingles"), pa.array(pos.astype(np.int32)), pa.array(end)], ["token", "rep", "n", "pos", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), take("rep"), take("n_shingles"), pa.array(pos), parts], ["token", "rep", "n", "pos", "suffix"])
+
+    spread_out = sets.select("rep", "n_shingles", "first_pos", "prefix_end", "shingles").mapInArrow(spread, "token long, rep long, n long, pos int, suffix binary")
+    own = _band(F.col("n"), percent)
+    both = spread_out.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", own - F.col("guest").cast("int"))
+    lists = both.groupBy("token", "band").agg(F.count("*").alias("k"), F.count_if(~F.col("guest")).alias("own")).where("k > 1 and own > 0").select("token", "band")
+    return both.join(lists, ["token", "band"]).select("token", "band", "guest", "rep", "n", "pos", "suffix")
+
+
+def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The lists that hold more than one class, with each member's class and the list's length."""
+    if found is None:
+        named = postings.withColumn("component", F.col("rep"))
+    else:
+        named = postings.drop("component", "k").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).where("least != most").select("token", "band", "k")
+    return named.join(mixed, ["token", "band"])
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter: whether two sets can share enough, given the counts of their suffixes."""
+    full = np.maximum(one, two).max(1) == FULL
+    return full | (1 + np.minimum(one, two).sum(1, dtype=np.int64) >= _least_overlap(n, m, percent))
+
 
-    spread_out = sets.select("rep", "n_shingles", "first_pos", "prefix").mapInArrow(spread, "token long, rep long, n long, pos int, end boolean")
-    shared_tokens = spread_out.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    return spread_out.join(shared_tokens, "token")
+def _parts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 1 << PIVOT_BITS)
+
+
+def _neighbours(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): each set with the one it meets most often beside it, in size order (turn 0) or in a random order of each list."""
+    salt = F.when(F.col("k") > CHUNK, F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("k") / CHUNK))).otherwise(F.lit(0))
+    near = Window.partitionBy("token", "band", "salt").orderBy(*(["n", "rep"] if turn == 0 else [F.xxhash64("rep", F.lit(-turn)), "rep"]))
+    beside = F.lag(F.struct("rep", "n", "pos", "component", "guest", "suffix")).over(near)
+    met = postings.withColumn("salt", salt).select(F.col("rep").alias("b"), "n", "pos", "component", "guest", "suffix", beside.alias("p")).where("p is not null and p.component != component and not (guest and p.guest)")
+    least = F.ceil(percent * (F.col("n") + F.col("p.n")) / F.lit(100 + percent))
+    passed = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) >= least)
+
+    def filtered(batches):
+        for x in batches:
+            ok = _may_link(x.column("n").to_numpy(), x.column("m").to_numpy(), _parts(x.column("one")), _parts(x.column("two")), percent)
+            yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    pairs = met.where(passed).select(F.col("p.rep").alias("a"), "b", "n", F.col("p.n").alias("m"), F.col("suffix").alias("one"), F.col("p.suffix").alias("two")).mapInArrow(filtered, "a long, b long")
+    best = pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", F.negative("a"))).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) and whether their whole sets reach the threshold."""
     left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
     def verify(batches):
         for batch in batches:
-            keep = []
+            linked = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * common >= percent * (len(one) + len(two) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(100 * common >= percent * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, linked boolean")
 
 
 def _compared(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components that pass all filters in some posting list, chunk against chunk."""
-    number = F.row_number().over(Window.partitionBy("token").orderBy("n", "rep")) - 1
-    size = F.count("*").over(Window.partitionBy("token"))
-    chunk = members.withColumn("chunk", F.floor(number / CHUNK).cast("int")).withColumn("last", F.floor((size - 1) / CHUNK).cast("int"))
-    dealt = chunk.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    dealt = dealt.select("token", "lo", "hi", "chunk", "rep", "n", "pos", "component", "sig").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    """Pairs from different classes that pass all filters in some list.
+
+    A list's members outside its largest class are compared with all members, in chunks of both. Members of one
+    class need no comparison, so the largest class never meets itself.
+    """
+    classes = members.groupBy("token", "band", "component").agg(F.count("*").alias("size"))
+    largest = classes.groupBy("token", "band").agg(F.max_by("component", "size").alias("major"), (F.sum("size") - F.max("size")).alias("minors"))
+    rows = members.join(largest, ["token", "band"]).withColumn("minor", F.col("component") != F.col("major"))
+    # row i and column j of the chunks that meet: a minor is in its row, any member in its column
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep", F.lit("i")), F.ceil(F.col("minors") / CHUNK)).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep", F.lit("j")), F.ceil(F.col("k") / CHUNK)).cast("int"))
+    last_i, last_j = (F.ceil(F.col(c) / CHUNK).cast("int") - 1 for c in ("minors", "k"))
+    columns = ("token", "band", "i", "j", "side", "rep", "n", "pos", "component", "minor", "guest", "suffix")
+    side_one = rows.where("minor").withColumn("j", F.explode(F.sequence(F.lit(0), last_j))).withColumn("side", F.lit(1)).select(*columns)
+    side_two = rows.withColumn("i", F.explode(F.sequence(F.lit(0), last_i))).withColumn("side", F.lit(2)).select(*columns)
+    keys = ["token", "band", "i", "j"]
+    dealt = side_one.union(side_two).repartition(*keys).sortWithinPartitions(*keys)
 
     def pairs_of(table: pa.Table):
-        get = {c: table.column(c).to_numpy() for c in ("lo", "hi", "chunk", "rep", "n", "pos", "component", "token")}
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, 1 << SIGNATURE_BITS)
-        change = np.flatnonzero((np.diff(get["token"]) != 0) | (np.diff(get["lo"]) != 0) | (np.diff(get["hi"]) != 0)) + 1
-        found_a, found_b = [], []
+        get = {c: table.column(c).to_numpy(zero_copy_only=False) for c in columns if c != "suffix"}
+        suffix = _parts(table.column("suffix").combine_chunks())
+        change = np.flatnonzero(np.logical_or.reduce([np.diff(get[k]) != 0 for k in keys])) + 1
+        found = [np.empty((0, 2), np.int64)]
         for i, j in zip([0, *change], [*change, table.num_rows]):
-            if j - i < 2:
-                continue
-            rows = np.arange(i, j)
-            same = get["lo"][i] == get["hi"][i]
-            one = rows if same else rows[get["chunk"][i:j] == get["lo"][i]]
-            two = rows if same else rows[get["chunk"][i:j] == get["hi"][i]]
-            n, m = get["n"][one][:, None], get["n"][two][None, :]
-            least = _least_overlap(n, m, percent)
-            ok = (get["component"][one][:, None] != get["component"][two][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            ok &= np.minimum(n - get["pos"][one][:, None], m - get["pos"][two][None, :]) >= least
-            x, y = np.nonzero(ok)
-            if same:
-                x, y = x[x < y], y[x < y]
-            for k in range(0, len(x), 20_000):
-                u, v = one[x[k : k + 20_000]], two[y[k : k + 20_000]]
-                full = np.maximum(sig[u], sig[v]).max(1) == 65_535  # a count that did not fit says nothing
-                close = full | (np.minimum(sig[u], sig[v]).sum(1, dtype=np.int64) >= _least_overlap(get["n"][u], get["n"][v], percent))
-                found_a.append(get["rep"][u[close]])
-                found_b.append(get["rep"][v[close]])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+            rows_ = np.arange(i, j)
+            one, two = rows_[get["side"][i:j] == 1], rows_[get["side"][i:j] == 2]
+            for k in range(0, len(one), CHUNK):
+                x = one[k : k + CHUNK, None]
+                n, m = get["n"][x], get["n"][two]
+                ok = (get["component"][x] != get["component"][two]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ~(get["guest"][x] & get["guest"][two])
+                ok &= ~get["minor"][two] | (get["rep"][x] < get["rep"][two])  # two minors meet twice
+                ok &= np.minimum(n - get["pos"][x], m - get["pos"][two]) >= _least_overlap(n, m, percent)
+                p, q = np.nonzero(ok)
+                for h in range(0, len(p), 20_000):
+                    u, v = one[k + p[h : h + 20_000]], two[q[h : h + 20_000]]
+                    close = _may_link(get["n"][u], get["n"][v], suffix[u], suffix[v], percent)
+                    a, b = get["rep"][u[close]], get["rep"][v[close]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def segments(batches):
@@ -178,8 +249,8 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
             table = pa.concat_tables([rest, table]) if rest is not None else table
             if not table.num_rows:
                 continue
-            keys = [table.column(c).to_numpy() for c in ("token", "lo", "hi")]
-            tail = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[-1]) + 1 if any((k != k[-1]).any() for k in keys) else 0
+            at = [table.column(c).to_numpy() for c in keys]
+            tail = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in at]))[-1]) + 1 if any((k != k[-1]).any() for k in at) else 0
             if tail:
                 yield pairs_of(table.slice(0, tail).combine_chunks())
             rest = table.slice(tail)
@@ -192,61 +263,62 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
 def link(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the representatives that have partners.
 
-    First, rounds link members of posting lists to their neighbours from another component, in size order and then
-    in random orders; the first round uses a few lists per set only. What the rounds leave apart is compared in all lists.
+    Rounds link members of lists to their neighbours from another class, in size order and then in random orders;
+    after each, lists of one class are done. What the rounds leave apart is compared in all lists that are left.
     """
-    postings = shared.materialise(_postings(sets))
-    ends = postings.where("end").drop("end")
-    links = shared.materialise(sets.sparkSession.createDataFrame([], "a long, b long"))
-    found = None
+    spark = sets.sparkSession
+    postings = shared.materialise(_open(_postings(sets, percent), None))
+    tried, done, found = spark.createDataFrame([], "a long, b long, linked boolean"), [], None
     for turn in range(ROUNDS):
-        # by size first; then in a new random order each time, which puts members of any two components side by side
-        near = Window.partitionBy("token").orderBy(*(["n", "rep"] if turn == 0 else [F.xxhash64("rep", F.lit(turn)), "rep"]))
-        members = _open(ends if turn == 0 else postings.drop("end"), found)
-        before = members.select(F.col("rep").alias("b"), "n", "pos", "component", F.lag(F.struct("rep", "n", "pos", "component")).over(near).alias("p")).where("p is not null and p.component != component")
-        passed = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) >= F.ceil((percent * (F.col("n") + F.col("p.n"))) / F.lit(100 + percent)))
-        counted = before.where(passed).groupBy("b", F.col("p.rep").alias("a")).count()
-        best = counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.negative("a"))).alias("a"))
-        new = shared.materialise(_verified(best, sets, percent))
-        if not new.isEmpty():
-            links = links.union(new)
-            found = shared.components(links)
-            shared.release(sets.sparkSession)
+        new = _neighbours(postings, percent, turn).join(tried, ["a", "b"], "left_anti")
+        new = shared.materialise(_verified(new, sets, percent))
+        tried, done = tried.union(new), [*done, new]
+        if not new.where("linked").isEmpty():
+            found = shared.components(tried.where("linked"))
+            last, postings = postings, shared.materialise(_open(postings, found))
+            shared.drop(last, found)
+            shared.release(spark)
         elif turn > 1:
             break
-    members = _open(postings.drop("end"), found).join(sets.select("rep", F.col("signature").alias("sig")), "rep")
-    more = shared.materialise(_verified(_compared(members, percent), sets, percent))
-    return shared.components(links.union(more))
-
-
-def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members of the posting lists that still hold more than one component."""
-    if found is None:
-        return postings.withColumn("component", F.col("rep"))
-    named = postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("token")
-    return named.join(mixed, "token")
+    new = _compared(postings, percent).join(tried, ["a", "b"], "left_anti")
+    new = shared.materialise(_verified(new, sets, percent))
+    found = shared.components(tried.union(new).where("linked"))
+    shared.drop(postings, new, *done)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Classes of near-duplicate texts of ``docs`` (doc_id, text; other columns are ignored).
 
     A null text is empty; texts without words link with nothing. Repeated rows come back as often as they occur.
-    Rows with a null doc_id keep a null component and link with nothing. An empty table gives none. Shingles are
-    compared by 64-bit hashes. Result: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+    Rows with a null doc_id keep a null component and link with nothing. An empty table gives none. Texts of any
+    length are taken whole; a similarity of exactly ``percent`` hundredths links. Shingles are compared by 64-bit
+    hashes; doc_id must be an integer. Result: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
     """
+    shared.integral(docs, "doc_id")
     rows = shared.materialise(prefixes(docs, width, percent))
     shared.release(docs.sparkSession)
     possible = rows.where("set_key is not null and doc_id is not null")
-    best = F.min_by(F.struct("n_shingles", "first_pos", "prefix", "signature", "shingles"), "doc_id")
+    best = F.min_by(F.struct("n_shingles", "first_pos", "prefix_end", "shingles"), "doc_id")
     sets = shared.materialise(possible.groupBy("set_key").agg(F.min("doc_id").alias("rep"), best.alias("own")).select("set_key", "rep", "own.*"))
+    names = shared.materialise(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")))
+    shared.drop(rows)
     found = link(sets, percent)
     named = sets.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    linked = possible.select("doc_id", "n_shingles", "set_key").join(named, "set_key").select("doc_id", "n_shingles", "component_id")
-    return linked.union(rows.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = shared.materialise(named)
+    shared.drop(sets)
+    shared.release(docs.sparkSession)
+    salted = names.where("set_key is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a set's copies may be a third of all rows
+    linked = salted.join(named, ["set_key", "salt"]).select("doc_id", "n_shingles", "component_id")
+    return linked.union(names.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def first_of_each_group(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class; other columns pass through untouched."""
+    """The rows of ``docs`` whose doc_id is the smallest of its class; other columns pass through untouched.
+
+    Rows with a null doc_id stay, repeated rows of a doc_id that stays do, too; texts without words stay. An empty
+    table gives none.
+    """
     later = near_duplicates(docs, width, percent).where("doc_id != component_id").select(F.col("doc_id").alias("__later")).distinct()
     return docs.join(later, docs["doc_id"] == later["__later"], "left_anti")

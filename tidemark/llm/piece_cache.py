@@ -5,25 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import islice
 
-LIMIT = 700_000
+from . import memory
+
+LIMIT = 96_000_000  # bytes that a cache holds, by the estimate below
+ENTRY = 230  # bytes of an entry besides its letters and codes
 
 
 class PieceCache:
     """Holds results by piece. When it is full, every second piece goes; frequent ones are soon back."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = LIMIT):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.size = encode, limit, 0
         self.held: dict[str, bytes] = {}
 
     def joined(self, split: list[list[str]]) -> list[bytes]:
         """The little-endian 32-bit ids of each text, given its pieces."""
-        asked = set().union(*split)
-        new = asked.difference(self.held)
-        if new and len(self.held) + len(new) > self.limit:
-            self.held = dict(islice(self.held.items(), 0, None, 2))
-            new = asked.difference(self.held)
-        if new:
-            pieces = list(new)
-            self.held.update(zip(pieces, self.encode(pieces)))
+        memory.used()
+        if new := list(set().union(*split).difference(self.held)):
+            found = self.encode(new)
+            self.held.update(zip(new, found))
+            self.size += _size(new, found)
         get = self.held.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        out = [b"".join(map(get, pieces)) for pieces in split]
+        while self.size > self.limit:
+            self.held = dict(islice(self.held.items(), 0, None, 2)) if len(self.held) > 1 else {}
+            self.size = _size(self.held.keys(), self.held.values())
+        return out
+
+
+def _size(pieces, found) -> int:
+    return ENTRY * len(pieces) + 2 * sum(map(len, pieces)) + sum(map(len, found))

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import memory
 from .piece_cache import PieceCache
 
 BATCH = 20_000  # distinct words that are encoded at once
@@ -75,3 +76,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process, so tasks share what is cached."""
     return Encoder(path)
+
+
+memory.on_release(encoder.cache_clear)
