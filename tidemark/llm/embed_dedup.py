@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Vectors of one label are dealt to overlapping cluster shards; clusters whose centers are as near as linked vectors
-are one shard. Each shard builds the adjacency lists of its
-members (nearest candidates, robust-pruned, both directions); lists of a vector from all its shards are united.
-Every vector is then searched in its shards over the united lists: greedily from the shard's medoid, and on
-through all neighbours while they are near the link threshold. Found pairs are verified by their cosine in
-double precision. A shard that is too large for one graph is dealt to chunks by hash, and every two of its chunks
-are compared exactly, so two vectors that share a shard always meet. Identical vectors are one node with a weight, and shards return counts and one link to a local
-root per vector, so groups of copies never become lists of pairs.
+Vectors of one label make a cell. A cell of more than CELL_MOST vectors is dealt to overlapping smaller cells by
+centers fitted on a bounded sample of it, again and again; centers as near as linked vectors stay in one cell, so a
+group whose members all link is not torn. A task takes one cell: it clusters the cell into overlapping shards, builds
+the adjacency lists of each shard (nearest candidates, robust-pruned, both directions) and unites them into one flat
+graph. Every member is then searched in the united graph: greedily from the shards' medoids, and on through all
+neighbours while they are near the threshold. Members of one shard walk together, so a step is one matrix product.
+Links are cosines in double precision. A cell that can't be dealt to smaller ones, as its members are too near each
+other, is compared exactly, chunk by chunk. Identical vectors are one node with a weight, and cells return counts and
+one link to a local root per vector, so groups of copies never become lists of pairs. A pair that shares several
+cells is counted in the first. ``with_recall`` audits the links of a bounded sample against all rows.
 """
 
 from __future__ import annotations
@@ -17,19 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import memory, shared
 
 THRESHOLD = 0.93
-SHARD_ROWS = 1_000  # vectors for each cluster center
-OVERLAP = 3  # shards that a vector belongs to
-SAMPLE = 20_000  # bound of the sample that centers are fitted on, all labels together
-CENTERS = 4_096  # bound of the centers of all labels together
-SHARD_MOST = 4_000  # members of a shard that is searched as a graph; larger ones are compared chunk by chunk, see ``_compared``
-CHUNK = 16_000  # members of a larger shard that one task compares with as many others
-CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
-DISTANT = 4  # random edges, so tight clumps larger than the degree are not cut off
-SATURATED = 6  # nearest candidates that keep an edge though pruning would drop it, so dense groups stay connected
-BEAM, SLACK, QUERIES = 24, 0.05, 256
+CELL_MOST = 8_000  # members of a cell that one task searches
+CELL_ROWS = 4_000  # members that cells are dealt to have, about
+CELL_OVERLAP = 2  # cells of a dealt cell that a vector belongs to
+CENTERS = 512  # cells that one cell is dealt to at once at most
+LEVELS = 6  # times that cells are dealt at most; larger ones that are left are compared exactly
+SAMPLE = 8_000  # bound of the sample of a cell that its centers are fitted on
+SALT_ROWS = 50_000  # members of a large cell that one task deals
+CHUNK = 8_000  # members of an undealt cell that one task compares with as many others
+SHARD_ROWS, OVERLAP = 500, 2  # members of a shard, about, and shards of a cell that a vector belongs to
+CANDIDATES, DEGREE, ALPHA = 32, 12, 1.2
+DISTANT = 2  # random edges, so tight clumps larger than the degree are not cut off
+SATURATED = 4  # nearest candidates that keep an edge though pruning would drop it, so dense groups stay connected
+BEAM, SLACK, QUERIES = 8, 0.05, 256
+AUDITED = 1_000  # bound of the vectors whose links are audited
+FOUND = "node long, links long, root long"
 
 
 def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -53,134 +60,158 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
 
 
-def _centers(nodes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Cluster centers by (space): a few k-means rounds on a bounded sample of distinct vectors."""
-    sizes = {r["space"]: r["n"] for r in nodes.groupBy("space").count().withColumnRenamed("count", "n").orderBy(F.desc("n")).limit(CENTERS).collect()}  # CENTERS rows at most
-    total = sum(sizes.values())
-    if not total:
-        return {}
-    sample = nodes.select("space", "unit").orderBy(F.xxhash64("unit")).limit(SAMPLE).toPandas()  # SAMPLE rows at most
-    share, out = min(1.0, CENTERS * SHARD_ROWS / max(total, 1)), {}
+def _means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """k unit centers of unit vectors by a few rounds of spherical k-means."""
     rng = np.random.default_rng(11)
-    for space, part in sample.groupby("space"):
-        x = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
-        k = int(min(max(1, np.ceil(sizes.get(space, 1) * share / SHARD_ROWS)), len(x)))
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(8):
-            near = (x @ c.T).argmax(1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
-        out[space] = c
-    return out
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds if k > 1 else 1):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
+    return c
 
 
 def _regions(centers: np.ndarray, threshold: float) -> np.ndarray:
-    """Each center's shard: the smallest center that it reaches through centers as near as linked vectors.
+    """Each center's cell: the smallest center that it reaches through centers as near as linked vectors.
 
     Centers of parts of a group whose members all link have a cosine of the threshold or more, as the mean of the
-    members' cosines is, so such a group is one shard however many centers fall into it.
+    members' cosines is, so such a group is one cell however many centers fall into it.
     """
     root, near = np.arange(len(centers)), [np.flatnonzero(c @ centers.T >= threshold) for c in centers]
-    a = np.repeat(root, [len(x) for x in near])
-    return _roots(len(root), a, np.concatenate(near), root) if len(a) else root
-
-
-def _pieces(nodes: DataFrame, centers: dict, threshold: float) -> DataFrame:
-    """(space, node, weight, unit, shards): every vector with its nearest shards."""
-    ordered = {}  # centers by shard, the shards and the place of each one's first center
-    for space, c in centers.items():
-        region = _regions(c, threshold)
-        order = np.argsort(region, kind="stable")
-        ordered[space] = c[order], *np.unique(region[order], return_index=True)
-    held = nodes.sparkSession.sparkContext.broadcast(ordered)  # CENTERS vectors at most
-
-    def assign(batches):
-        for batch in batches:
-            spaces, rows = np.array(batch.column("space").to_pylist(), object), batch.column("unit").to_pylist()
-            shards: list = [None] * len(rows)
-            for space in set(spaces.tolist()):
-                at = np.flatnonzero(spaces == space)
-                c, names, first = held.value.get(space, (None, None, None))
-                if c is None:
-                    for i in at.tolist():
-                        shards[i] = [0]
-                    continue
-                x = np.frombuffer(b"".join(rows[i] for i in at), np.float64).reshape(len(at), -1)
-                near = names[np.argsort(-np.maximum.reduceat(x @ c.T, first, axis=1), axis=1, kind="stable")[:, :OVERLAP]]
-                for i, own in zip(at.tolist(), np.sort(near, 1).tolist()):
-                    shards[i] = own
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("space", "node", "weight", "unit")), pa.array(shards, pa.list_(pa.int32()))], ["space", "node", "weight", "unit", "shards"])
-
-    dealt = nodes.select("space", "node", "weight", "unit").mapInArrow(assign, "space string, node long, weight long, unit binary, shards array<int>")
-    return shared.materialise(dealt)
-
-
-def _built(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a shard: nearest candidates under robust pruning, then edges in both directions."""
+    return _roots(len(root), np.repeat(root, [len(x) for x in near]), np.concatenate(near), root)
+
+
+def _dealt(cells: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """Rows of ``cells`` that are in a ``large`` (cell, n) one, in overlapping smaller cells; ``whole`` where it can't be dealt."""
+    big = cells.drop("whole").join(large, "cell")
+    share = (F.xxhash64("node").cast("double") + 2.0**63) / 2.0**64 < SAMPLE / F.col("n")
+
+    def fit(rows: pa.Table) -> pa.Table:
+        memory.release()
+        x, n = _matrix(rows.column("unit")), rows.column("n")[0].as_py()
+        c = _means(x, max(1, min(CENTERS, -(-CELL_OVERLAP * n // CELL_ROWS), len(x))))
+        return pa.table([rows.column("cell")[:1], rows.column("n")[:1], pa.array([c.tobytes()]), pa.array([_regions(c, threshold).tolist()], pa.list_(pa.int64()))], ["cell", "n", "centers", "regions"])
+
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    fitted = big.where(share).groupBy("cell").applyInArrow(fit, "cell string, n long, centers binary, regions array<long>")
+    fitted = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def assign(rows: pa.Table, fits: pa.Table) -> pa.Table:
+        x = _matrix(rows.column("unit"))
+        whole = not fits.num_rows  # no vector of it was in the sample, so it is a small one
+        if not whole:
+            c = np.frombuffer(fits.column("centers")[0].as_py(), np.float64).reshape(-1, x.shape[1])
+            region = np.array(fits.column("regions")[0].as_py())
+            order = np.argsort(region, kind="stable")
+            names, first = np.unique(region[order], return_index=True)
+            whole = len(names) == 1
+        if whole:
+            return rows.select(["cell", "node", "weight", "unit"]).append_column("whole", pa.array(np.ones(len(x), bool)))
+        near = names[np.argsort(-np.maximum.reduceat(x @ c[order].T, first, axis=1), axis=1, kind="stable")[:, :CELL_OVERLAP]]
+        row = np.repeat(np.arange(len(x)), near.shape[1])
+        cell = rows.column("cell")[0].as_py()
+        return pa.table([pa.array([f"{cell}/{k}" for k in near.ravel().tolist()]), *(rows.column(k).take(pa.array(row)) for k in ("node", "weight", "unit")), pa.array(np.zeros(len(row), bool))], ["cell", "node", "weight", "unit", "whole"])
+
+    salted = big.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), salts).cast("int"))
+    return salted.groupBy("cell", "salt").cogroup(fitted.groupBy("cell", "salt")).applyInArrow(assign, "cell string, node long, weight long, unit binary, whole boolean")
+
+
+def _cells(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(cell, node, weight, unit, whole, cells): every vector in its cells, with the names of all of them."""
+    cells = nodes.select(F.col("space").alias("cell"), "node", "weight", "unit", F.lit(False).alias("whole"))
+    done, dealt = [], False
+    for _ in range(LEVELS):
+        large = shared.materialise(cells.where("not whole").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_MOST))
+        if large.isEmpty():
+            break
+        dealt = True
+        done.append(cells.join(large, "cell", "left_anti"))
+        cells = shared.materialise(_dealt(cells.where("not whole"), large, threshold))
+    for more in done:
+        cells = cells.union(more.select(*cells.columns))
+    if not dealt:
+        return cells.withColumn("cells", F.array("cell"))
+    names = cells.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))  # CELL_OVERLAP ** LEVELS names at most
+    return shared.materialise(cells.join(names, "node").select("cell", "node", "weight", "unit", "whole", "cells"))
+
+
+def _lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency of a shard as (from, to): nearest candidates under robust pruning."""
     n = len(x)
-    if n == 1:
-        return [np.empty(0, np.int64)]
     pool = min(CANDIDATES, n - 1)
-    near = np.empty((n, pool), np.int64)
-    for i in range(0, n, 512):
-        s = x[i : i + 512] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        top = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
-        near[i : i + 512] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1)
-    out: list[list[int]] = [[] for _ in range(n)]
-    for i in range(0, n, 128):  # pruned for many vectors at once
-        c = near[i : i + 128]
-        v = x[c]
-        to_query = 2 - 2 * np.einsum("qcd,qd->qc", v, x[i : i + 128])
-        among = 2 - 2 * np.einsum("qcd,qed->qce", v, v)
-        alive, rows = np.ones(c.shape, bool), np.arange(len(c))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, n if pool else 0, 256):
+        v = x[i : i + 256]
+        s = v @ x.T
+        rows = np.arange(len(v))
+        s[rows, rows + i] = -2
+        near = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), 1, kind="stable"), 1)
+        to_query = 2 - 2 * np.take_along_axis(s, near, 1)
+        c = x[near]
+        among = 2 - 2 * (c @ c.transpose(0, 2, 1))
+        alive = np.ones(near.shape, bool)
         for _ in range(min(DEGREE, pool)):
-            pick = np.where(alive, np.arange(pool), pool).min(1)
-            ok = pick < pool
+            pick = alive.argmax(1)
+            ok = alive[rows, pick]
             if not ok.any():
                 break
-            p = np.minimum(pick, pool - 1)
-            for r in rows[ok].tolist():
-                out[i + r].append(int(c[r, p[r]]))
-            alive &= ~(ALPHA * np.maximum(among[rows, p], 0) <= np.maximum(to_query, 0))
-            alive[rows[ok], p[ok]] = False
-            alive[~ok] = False
-    distant = np.random.default_rng(n).integers(0, n, (n, DISTANT))
-    both: list[set[int]] = [(set(a) | set(distant[i].tolist())) - {i} | set(near[i, :SATURATED].tolist()) for i, a in enumerate(out)]
-    for a in range(n):
-        for b in list(both[a]):
-            both[b].add(a)
-    return [np.fromiter(b, np.int64, len(b)) for b in both]
-
-
-def _searched(x: np.ndarray, start: np.ndarray, edges: np.ndarray, threshold: float):
-    """(query, found) index pairs with a cosine of the threshold or more, by range-expanding greedy search."""
+            a.append(rows[ok] + i)
+            b.append(near[rows[ok], pick[ok]])
+            alive &= ALPHA * np.maximum(among[rows, pick], 0) > np.maximum(to_query, 0)
+            alive[rows, pick] = False
+        kept = min(SATURATED, pool)
+        a.append(np.repeat(rows + i, kept))
+        b.append(near[:, :kept].ravel())
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The flat graph of a cell: where each node's edges begin, the edges, the shards' medoids, each node's nearest shard."""
     n = len(x)
-    center = x.mean(0)
-    medoid = int((x @ center).argmax())
-    for q0 in range(0, n, QUERIES):
-        q = x[q0 : q0 + QUERIES]
-        s = np.full((len(q), n), -2.0)
-        s[:, medoid] = q @ x[medoid]
-        opened = np.zeros(s.shape, bool)
-        while True:
-            beam = np.partition(s, n - BEAM, axis=1)[:, n - BEAM] if n > BEAM else np.full(len(q), -2.0)
-            a, b = np.nonzero((s > -2) & ~opened & ((s >= beam[:, None]) | (s >= threshold - SLACK)))
-            if not len(a):
-                break
-            opened[a, b] = True
-            count = start[b + 1] - start[b]
-            row = np.repeat(a, count)
-            target = edges[np.repeat(start[b] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            flat = row * n + target
-            flat = np.unique(flat[s.ravel()[flat] <= -2])
-            for k in range(0, len(flat), 100_000):
-                some = flat[k : k + 100_000]
-                s.ravel()[some] = np.einsum("kd,kd->k", q[some // n], x[some % n])
-        a, b = np.nonzero(s >= threshold)
-        yield a + q0, b
+    k = max(1, -(-OVERLAP * n // SHARD_ROWS)) if n > SHARD_ROWS else 1
+    c = _means(x[np.random.default_rng(n).permutation(n)[: 64 * k]], k)
+    score = x @ c.T
+    near = np.argpartition(-score, OVERLAP - 1, axis=1)[:, :OVERLAP] if k > OVERLAP else np.tile(np.arange(k), (n, 1))
+    random = np.random.default_rng(n + 1).integers(0, n, (n, DISTANT))
+    a, b, medoids = [np.repeat(np.arange(n), DISTANT)], [random.ravel()], []
+    for shard in range(k):
+        members = np.flatnonzero((near == shard).any(1))
+        if len(members):
+            own = x[members]
+            medoids.append(members[(own @ own.mean(0)).argmax()])
+            p, q = _lists(own)
+            a.append(members[p])
+            b.append(members[q])
+    a, b = np.concatenate(a), np.concatenate(b)
+    code = np.unique(np.concatenate([a * n + b, b * n + a]))  # lists of a vector from all its shards, both directions
+    a, b = code // n, code % n
+    a, b = a[a != b], b[a != b]
+    return np.searchsorted(a, np.arange(n + 1)), b, np.unique(medoids), score.argmax(1)
+
+
+def _walked(x: np.ndarray, q: np.ndarray, start: np.ndarray, edges: np.ndarray, medoids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the queries with the nodes that their common walk has seen, and these nodes."""
+    seen, opened = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    seen[medoids] = True
+    nodes, score = medoids, q @ x[medoids].T
+    beam = np.full((len(q), BEAM), -2.0)  # the best cosines of each query so far
+    new = score
+    while True:
+        beam = np.partition(np.concatenate([beam, new], 1), new.shape[1], axis=1)[:, new.shape[1] :]
+        closed = np.flatnonzero(~opened[nodes])
+        open_ = nodes[closed[(score[:, closed] >= np.minimum(beam.min(1), threshold - SLACK)[:, None]).any(0)]]
+        if not len(open_):
+            return nodes, score
+        opened[open_] = True
+        count = start[open_ + 1] - start[open_]
+        found = np.unique(edges[np.repeat(start[open_] - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+        found = found[~seen[found]]
+        seen[found] = True
+        new = q @ x[found].T
+        nodes, score = np.concatenate([nodes, found]), np.concatenate([score, new], 1)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -196,18 +227,55 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarr
             return parent
 
 
-def _compared(rows: pa.Table, threshold: float) -> pa.Table:
-    """(node, links, root) of two chunks of a shard, or of one with itself, by all cosines.
+def _earlier(rows: pa.Table) -> np.ndarray:
+    """Numbers of the cells of each row that come before the cell at hand; below 0 where there are none."""
+    here, names = rows.column("cell")[0].as_py(), rows.column("cells").to_pylist()
+    before = [[c for c in own if c < here] for own in names]
+    number = {c: k for k, c in enumerate(sorted({c for own in before for c in own}))}
+    out = np.full((len(names), max(map(len, before), default=0)), -1)
+    for i, own in enumerate(before):
+        out[i, : len(own)] = [number[c] for c in own]
+    return out
 
-    Pairs that share an earlier shard add to the roots only; they are counted there.
-    """
+
+def _first(near: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The pairs of ``near`` that share no earlier cell; those that do are counted there."""
+    for j in range(one.shape[1]):
+        for k in range(two.shape[1]):
+            near &= (one[:, j][:, None] != two[:, k]) | (one[:, j] < 0)[:, None]
+    return near
+
+
+def _searched(rows: pa.Table, threshold: float) -> pa.Table:
+    """(node, links, root) of a cell, by search in its graph."""
+    memory.release()
+    node, weight, x = rows.column("node").to_numpy(), rows.column("weight").to_numpy(), _matrix(rows.column("unit"))
+    n, earlier, parent = len(node), _earlier(rows), np.arange(len(node))
+    start, edges, medoids, shard = _graph(x)
+    near = np.zeros((n, n), bool)
+    order = np.argsort(shard, kind="stable")
+    for i in range(0, n, QUERIES):
+        at = order[i : i + QUERIES]
+        nodes, score = _walked(x, x[at], start, edges, medoids, threshold)
+        p, q = np.nonzero(score >= threshold)
+        near[at[p], nodes[q]] = True
+        near[nodes[q], at[p]] = True  # found from either end
+    near &= node[:, None] != node  # repeated ids
+    links = np.zeros(n, np.int64)
+    for i in range(0, n, QUERIES):
+        at = np.arange(i, min(i + QUERIES, n))
+        a, b = np.nonzero(near[at] & (parent[at][:, None] != parent))
+        parent = _roots(n, at[a], b, parent)
+        links[at] = _first(near[at], earlier[at], earlier) @ weight
+    return pa.table([pa.array(node), pa.array(links), pa.array(node[parent])], ["node", "links", "root"])
+
+
+def _compared(rows: pa.Table, threshold: float) -> pa.Table:
+    """(node, links, root) of two chunks of a cell, or of one with itself, by all cosines."""
+    memory.release()
     one, two = (rows.column(c)[0].as_py() for c in ("one", "two"))
     node, weight, mine = (rows.column(c).to_numpy() for c in ("node", "weight", "mine"))
-    x, here = _matrix(rows.column("unit")), rows.column("shard")[0].as_py()
-    earlier = np.full((len(node), OVERLAP - 1), -1)
-    for i, own in enumerate(rows.column("shards").to_pylist()):
-        own = [k for k in own if k < here]
-        earlier[i, : len(own)] = own
+    x, earlier = _matrix(rows.column("unit")), _earlier(rows)
     left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
     links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
     held = x[right]
@@ -216,9 +284,7 @@ def _compared(rows: pa.Table, threshold: float) -> pa.Table:
         near = (x[at] @ held.T >= threshold) & (node[at][:, None] != node[right])
         a, b = np.nonzero(near & (parent[at][:, None] != parent[right]))
         parent = _roots(len(node), at[a], right[b], parent)
-        for j in range(OVERLAP - 1):
-            for k in range(OVERLAP - 1):
-                near &= (earlier[at, j][:, None] != earlier[right, k]) | (earlier[at, j] < 0)[:, None]
+        near = _first(near, earlier[at], earlier[right])
         links[at] += near @ weight[right]
         if one != two:
             links[right] += weight[at] @ near
@@ -230,67 +296,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Null vectors and labels, zero vectors, and vectors with null or non-finite components link with nothing;
     vectors of different lengths never meet. A repeated row is a vector like any other and links with its copies;
-    a null vec_id links with nothing. An empty table gives none. Result, one row per input row: vec_id, n_links,
-    component_id (smallest vec_id reachable), kept (vec_id = component_id).
+    a null vec_id links with nothing. A cosine of exactly ``threshold`` links. An empty table gives none. Result, one
+    row per input row: vec_id, n_links, component_id (smallest vec_id reachable), kept (vec_id = component_id).
     """
+    shared.integral(vectors, "vec_id")
     units = shared.materialise(unit_vectors(vectors))
     usable = F.col("unit").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     space = F.concat_ws(":", F.col("label").cast("string"), F.length("unit"))
     placed = units.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), space.alias("space"), "unit", F.unhex(F.md5(F.concat(F.encode(space, "utf-8"), F.col("unit")))).alias("same"))
+    # repeated ids make one node of several vectors
     nodes = shared.materialise(placed.groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("space").alias("space"), F.first("unit").alias("unit")))
-    # repeated ids make one node of several vectors; their lists then only grow
-    pieces = _pieces(nodes, _centers(nodes), threshold)
-    dealt = pieces.withColumn("shard", F.explode("shards"))
-    size = dealt.groupBy("space", "shard").agg(F.count("*").alias("size"))
-    large = size.where(F.col("size") > SHARD_MOST).collect()  # each row stands for more than SHARD_MOST members
-    chunks = {(r["space"], r["shard"]): -(-r["size"] // CHUNK) for r in large}
-
-    def split(batches):
-        for batch in batches:
-            out = [chunks.get(key, 0) for key in zip(batch.column("space").to_pylist(), batch.column("shard").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "chunks"])
-
-    dealt = dealt.mapInArrow(split, "space string, node long, weight long, unit binary, shards array<int>, shard int, chunks int")
-    whole = dealt.where("chunks = 0").drop("chunks")
-
-    def build(rows):
-        node = rows.column("node").to_numpy()
-        lists = _built(_matrix(rows.column("unit")))
-        return pa.table([pa.array(node), pa.array([node[x] for x in lists], pa.list_(pa.int64()))], ["node", "near"])
-
-    lists = whole.groupBy("space", "shard").applyInArrow(build, "node long, near array<long>")
-    united = shared.materialise(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-
-    def search(rows):
-        node, weight = rows.column("node").to_numpy(), rows.column("weight").to_numpy()
-        shards, here = rows.column("shards").to_pylist(), rows.column("shard")[0].as_py()
-        order = np.argsort(node, kind="stable")
-        near = rows.column("near").to_pylist()
-        targets = []
-        for x in near:
-            x = np.array(x or [], np.int64)
-            at = np.minimum(np.searchsorted(node[order], x), len(node) - 1)
-            targets.append(order[at][node[order][at] == x])
-        start = np.concatenate([[0], np.cumsum([len(t) for t in targets])]).astype(np.int64)
-        edges = np.concatenate(targets).astype(np.int64) if len(targets) else np.empty(0, np.int64)
-        member = np.zeros((len(node), max((max(s) for s in shards), default=0) + 1), bool)
-        for i, s in enumerate(shards):
-            member[i, s] = True
-        member = member[:, :here]  # an earlier shard that holds both ends counts the pair
-        links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
-        for a, b in _searched(_matrix(rows.column("unit")), start, edges, threshold):
-            a, b = a[node[a] != node[b]], b[node[a] != node[b]]
-            first = ~(member[a] & member[b]).any(1) if here else np.ones(len(a), bool)
-            links += np.bincount(a[first], weight[b[first]], len(node)).astype(np.int64)
-            parent = _roots(len(node), a, b, parent)
-        return pa.table([pa.array(node), pa.array(links), pa.array(node[parent])], ["node", "links", "root"])
-
-    ready = whole.join(united, "node")
-    found = ready.groupBy("space", "shard").applyInArrow(search, "node long, links long, root long")
-    if chunks:
-        mine = dealt.where("chunks > 0").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
-        found = found.union(pairs.groupBy("space", "shard", "one", "two").applyInArrow(lambda rows: _compared(rows, threshold), "node long, links long, root long"))
+    cells = _cells(nodes, threshold)
+    large = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("whole").alias("any_whole")).where(F.col("any_whole") | (F.col("n") > CELL_MOST)).select("cell", "n")
+    large = shared.materialise(large)
+    found = cells.join(large, "cell", "left_anti").groupBy("cell").applyInArrow(lambda rows: _searched(rows, threshold), FOUND)
+    if not large.isEmpty():
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        mine = cells.join(large, "cell").withColumn("mine", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int"))
+        pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
+        found = found.union(pairs.groupBy("cell", "one", "two").applyInArrow(lambda rows: _compared(rows, threshold), FOUND))
     found = shared.materialise(found)
     component = shared.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(component, "node")
@@ -300,23 +324,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return out.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 50, chunk: int = 2_000) -> DataFrame:
-    """One row: true and found links of the vectors whose id is divisible by ``every``, against all rows, in blocks."""
+def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> DataFrame:
+    """One row: true and found links (n_true, n_found) of at most ``audited`` vectors, drawn by a hash of the id, against all rows."""
     units = unit_vectors(vectors).where("unit is not null and label is not null and vec_id is not null").select("vec_id", F.concat_ws(":", F.col("label").cast("string"), F.length("unit")).alias("space"), "unit")
-    asked = units.where(F.col("vec_id") % every == 0)
-    counts = asked.groupBy("space").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    rows = units.join(counts, "space").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
-    queries = asked.join(counts, "space").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("block", F.col("block").cast("long"))
-
-    def compare(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["vec_id", "n"])
-        q, x = _matrix(left.column("unit")), _matrix(right.column("unit"))
-        ids = left.column("vec_id").to_numpy()
-        n = np.concatenate([(q[i : i + 256] @ x.T >= threshold).sum(1) for i in range(0, len(q), 256)])
-        return pa.table([pa.array(ids), pa.array(n.astype(np.int64))], ["vec_id", "n"])
-
-    keys = ("space", "chunk", "block")
-    queries = queries.toDF(*queries.columns)  # columns of its own, apart from those of rows
-    true = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n_true"))
-    return true.join(found, "vec_id").agg(F.sum("n_true").alias("n_true"), F.sum(F.least("n_links", "n_true")).alias("n_found"))
+    asked = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(audited).collect()  # ``audited`` rows at most
+    spaces: dict[str, list] = {}
+    for r in asked:
+        spaces.setdefault(r["space"], []).append(r)
+    queries = {k: (np.array([r["vec_id"] for r in v], np.int64), np.frombuffer(b"".join(bytes(r["unit"]) for r in v), np.float64).reshape(len(v), -1)) for k, v in spaces.items()}
+
+    def count(batches):
+        total = {k: np.zeros(len(ids), np.int64) for k, (ids, _) in queries.items()}
+        for batch in batches:
+            space, unit = np.array(batch.column("space").to_pylist(), object), batch.column("unit")
+            for k, (_, q) in queries.items():
+                if len(at := np.flatnonzero(space == k)):
+                    total[k] += (q @ _matrix(pa.chunked_array([unit.take(pa.array(at))])).T >= threshold).sum(1)
+        for k, (ids, _) in queries.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[k])], ["vec_id", "n"])
+
+    true = units.mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n_true"))
+    return true.join(found.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), "vec_id").agg(F.coalesce(F.sum("n_true"), F.lit(0)).alias("n_true"), F.coalesce(F.sum(F.least("n_links", "n_true")), F.lit(0)).alias("n_found"))
+
+
+def with_recall(vectors: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> DataFrame:
+    """``near_duplicates`` with the audited recall of its links (audit_recall) and their number (audit_links) in every row; with none, a recall of 1."""
+    found = shared.materialise(near_duplicates(vectors, threshold))
+    audit = audit_recall(vectors, found, threshold, audited).first()
+    recall = audit["n_found"] / audit["n_true"] if audit["n_true"] else 1.0
+    return found.withColumn("audit_recall", F.lit(float(recall))).withColumn("audit_links", F.lit(int(audit["n_true"])).cast("long"))

@@ -25,7 +25,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return embed_dedup.with_recall(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
