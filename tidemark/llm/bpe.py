@@ -2,7 +2,8 @@
 
 Distinct pre-tokens lie as rows of token ids in padded matrices, one matrix per length bucket. Each round every
 row merges its leftmost pair of least rank: ranks of pairs come from a hash table in numpy arrays, the row is
-compacted by one column, and only the two pairs that changed are looked up again. Finished rows leave.
+compacted by one column, and only the two pairs that changed are looked up again. Finished rows leave. A
+pre-token of more than LONG bytes takes its merges in the same order from a heap, so its time stays near its length.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from . import memory
 from .piece_cache import PieceCache
 
 NONE = np.int32(2**31 - 1)
+LONG = 2_048  # bytes of a row of a matrix at most; a round of merges costs time in a row's length, so longer ones use a heap
 CELLS = 4_000_000  # cells of one padded matrix at most, unless one row is longer
 SLICE_BYTES = 4_000_000  # text that is encoded at a time
 
@@ -84,6 +87,7 @@ class Codec:
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
         self.size = np.array([len(t) for t in spelled], np.int64)
         self.begin = np.cumsum(self.size) - self.size
+        self.longest = max(map(len, ranks))
         self.cache = PieceCache(self._encode)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
@@ -91,7 +95,10 @@ class Codec:
         out: list[bytes] = [b""] * len(pieces)
         length = np.array([len(p) for p in pieces])
         bucket = np.ceil(np.log2(np.maximum(length, 1))).astype(int)
-        for b in np.unique(bucket):
+        for row in np.flatnonzero(length > LONG).tolist():
+            out[row] = self._long(pieces[row])
+        bucket[length > LONG] = -1
+        for b in np.unique(bucket[bucket >= 0]):
             rows = np.flatnonzero(bucket == b)
             rows = rows[np.argsort(length[rows], kind="stable")]
             step = max(1, CELLS >> int(b))
@@ -101,6 +108,34 @@ class Codec:
                     out[row] = ids
         return out
 
+    def _long(self, piece: bytes) -> bytes:
+        """Ids of one long piece: the same merges, leftmost of least rank first, from a heap of pairs."""
+        n = len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by place where a token begins; 0 in ``end``: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.rank_of(piece[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # one of the two tokens has changed since
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := self.rank_of(piece[i : end[stop]])) is not None:
+                    heappush(heap, (r, i, end[stop]))
+            if before[i] >= 0 and (r := self.rank_of(piece[before[i] : stop])) is not None:
+                heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.whole.get(piece[i : end[i]]) or int(self.bytes_id[piece[i]]).to_bytes(4, "little"))
+            i = end[i]
+        return b"".join(out)
+
+    def rank_of(self, token: bytes) -> int | None:
+        found = self.whole.get(token) if len(token) <= self.longest else None
+        return None if found is None else int.from_bytes(found, "little")
+
     def _matrix(self, pieces: list[bytes], length: np.ndarray) -> list[bytes]:
         n, width = len(pieces), int(length.max())
         if not width:
@@ -164,8 +199,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text; other columns are ignored) and decode the ids again.
 
     A null text is empty and has no ids. Repeated rows and null ids come back as they are; an empty table gives
-    none. The rank file is read where tasks run, once in each worker. Time for one pre-token grows with the square of
-    its length. Result: doc_id, ids (array of int), decoded (binary).
+    none. The rank file is read where tasks run, once in each worker. A text is taken whole, however long.
+    Result: doc_id, ids (array of int), decoded (binary).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def groups(docs: DataFrame, hash_of: Callable[[Column], Column] = content_hash)
 
     Result, one row per input row: doc_id, keep_id (smallest doc_id of the group, null only where all are
     null), group_size, kept (doc_id equals keep_id), text_sha256 of the normalised text. Repeated rows count
-    each time. An empty table gives none. ``hash_of`` maps the normalised text to the grouping hash; its
+    each time. An empty table gives none; texts of any length are taken whole. ``hash_of`` maps the normalised text to the grouping hash; its
     collisions cost time, never a wrong group.
     """
     parts = max(PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -40,9 +40,10 @@ def groups(docs: DataFrame, hash_of: Callable[[Column], Column] = content_hash)
     body = body.withColumn("h", hash_of(F.col("body"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     rows = body.select("doc_id", "h", "part", F.sha2("body", 256).alias("text_sha256"))
 
-    counted = body.groupBy("h", "part").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    counted = shared.materialise(body.groupBy("h", "part").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     sized = counted.groupBy("h").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1")
     told = shared.materialise(counted.select("h", "part").join(sized, "h"))
+    shared.drop(counted)
 
     members = body.join(told, ["h", "part"])
     first = members.where("doc_id <=> keep_id").groupBy("h").agg(F.first("body").alias("first_body"))
@@ -60,7 +61,10 @@ def groups(docs: DataFrame, hash_of: Callable[[Column], Column] = content_hash)
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns untouched; of repeated rows with one id and text, one stays."""
+    """The rows of ``docs`` that stay, all columns untouched; of repeated rows with one id and text, one stays.
+
+    Null texts are empty ones; the row with a null id stays only in a group of null ids. An empty table gives none.
+    """
     found = groups(docs)
     kept = found.where("kept").select("doc_id", "text_sha256").distinct()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))

@@ -96,7 +96,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     """Known licenses in ``docs`` (doc_id, text; other columns are ignored).
 
     ``texts`` are (license_id, text) pairs, few enough for the driver; KNOWN if not given. A null or empty text
-    holds none. Repeated rows add up, null ids are one document. Result, one row per document and license that
+    holds none; texts of any length are taken whole; an empty table gives none. Of licenses with one canonical text the
+    first name stands. Repeated rows add up, null ids are one document. Result, one row per document and license that
     is found: doc_id, license_id, n_units (distinct lines, paragraphs and whole texts that are the license), whole_text (the document is nothing else).
     """
     table = known(docs.sparkSession, KNOWN if texts is None else texts)

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 LENGTH = 2048
 OPEN_WINDOWS = 64
 SLICE_ROWS = 1_000  # documents tokenized at a time
@@ -113,7 +115,8 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list], list[bytes]]],
 
     ``encoder()`` runs once in each task and gives a function from texts (null: empty) to little-endian unsigned
     32-bit ids; documents without ids give no piece. Repeated rows are packed as often as they occur, null ids
-    too. Result, one row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    too; an empty table gives no pieces. Texts of any length are cut into pieces, losslessly; of windows with the same
+    room the oldest is taken. doc_id must be an integer. Result, one row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
     """
     if open_windows < 1 or length < 1:
         raise ValueError("length and open_windows must be at least 1")
@@ -131,5 +134,6 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list], list[bytes]]],
         packer.powers(packer.fill(packer.leftovers()))
         yield packer.flush()
 
+    shared.integral(docs, "doc_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(online, PIECES)

@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 LENGTH = 2048
 GROUP_TOKENS = 2_000_000  # tokens that a task holds and packs at once
 SLICE_ROWS = 1_000
@@ -72,7 +74,8 @@ def packed_rows(docs: DataFrame, encoder: Callable[[], Callable[[list], list[byt
 
     ``encoder()`` runs once in each task and gives a function from texts (null: empty) to little-endian unsigned
     32-bit ids; documents without ids have no piece. Repeated rows and null ids are packed as they are; an empty
-    table gives no rows. Result: row_id, ids (``length`` numbers, padded with ``pad``), n_tokens (without
+    table gives no rows. Texts of any length are split losslessly; of pieces of one length the earlier is placed first.
+    doc_id must be an integer. Result: row_id, ids (``length`` numbers, padded with ``pad``), n_tokens (without
     padding), cu_seqlens (0 and the cumulative lengths of the row's segments), position_resets (offsets at which
     positions start at 0 again), doc_ids and starts (the document of each segment and its ids before it).
     """
@@ -91,6 +94,7 @@ def packed_rows(docs: DataFrame, encoder: Callable[[], Callable[[list], list[byt
                         next_id, held, size = next_id + len(held), [], 0
         yield _rows(held, length, pad, next_id)
 
+    shared.integral(docs, "doc_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, ROWS)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, memory
 from .bpe import slices
 
 SAMPLE = (1_500, 3_000)  # bound of labelled rows to learn from: toxic, clean
@@ -317,31 +317,44 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
 def scored(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` (text and any other columns) with ``score``: every window of every whole text goes through the network.
 
-    A null or empty text, or one without words, has score 0. Rows come back as often as they occur.
+    A null or empty text, or one without words, has score 0. All columns pass through as they are, whatever their
+    names; where one is called score, the new one is score_1, or the first such name that is free. Rows come back as
+    often as they occur, of an empty table none. Texts of any length are taken whole, one at a time if need be.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)  # parameters of fixed size
+    names, own = docs.columns, [f"__c{i}" for i in range(len(docs.columns))]
+    text = own[names.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         for batch in batches:
-            for part in slices(batch, "__text", SLICE_BYTES):
-                score = shared.value.score(blocks.texts_of(pa.Table.from_batches([part]), "__text"))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score, pa.float64())], [*part.schema.names[1:], "score"])
+            for part in slices(batch, text, SLICE_BYTES):
+                score = shared.value.score(blocks.texts_of(pa.Table.from_batches([part]), text))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "__score"])
 
-    kept = [c for c in docs.columns if c not in ("score", "text")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in kept)
-    held = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), *kept)
-    return held.mapInArrow(run, f"{schema}, score double")
+    held = docs.toDF(*own)
+    held = held.withColumn(text, F.col(text).cast("string"))
+    schema = ", ".join(f"{c} {t}" for c, t in held.dtypes)
+    return held.mapInArrow(run, f"{schema}, __score double").toDF(*names, score_name(names))
+
+
+def score_name(columns: list[str]) -> str:
+    """The column that ``scored`` adds to these."""
+    taken = {c.lower() for c in columns}
+    return next(c for c in ("score", *(f"score_{i}" for i in range(1, len(columns) + 2))) if c not in taken)
 
 
 def judged(docs: DataFrame, network: Network, held_out_of: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from a score of 0.5) for every row of ``docs``; null ids are held out."""
+    """doc_id, held_out, score, predicted (1 from a score of 0.5) for every row of ``docs``; null ids are held out.
+
+    Other columns are ignored. Null, empty, repeated and very long texts, and empty tables, as in ``scored``.
+    """
     found = scored(docs.select("doc_id", "text"), network)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out_of == 0, F.lit(True))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns untouched."""
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    held = docs.select(F.col("text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    return scored(held, network).where("score < 0.5").select(*(F.col(n).alias(c) for c, n in names.items()))
+    """The rows of ``docs`` that score under 0.5, all columns untouched; a score of 0.5 goes. An empty table gives none."""
+    added = score_name(docs.columns)
+    return scored(docs, network).where(F.col(added) < 0.5).drop(added)
