@@ -107,14 +107,12 @@ def r6(c: Column, name: str) -> Column:
     from ev
     window r as (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding),
         g0 as (partition by user_id order by t range between current row and current row))
-select event_id, n as prior_count, cast(c as double) / 100 / nullif(n, 0) as prior_mean, round(sd, 4) as prior_std,
+select event_id, n as prior_count, round(cast(c as double) / 100 / nullif(n, 0), 9) as prior_mean, round(sd, 4) as prior_std,
     round(case when c > 0 then amount / (cast(c as double) / 100 / nullif(n, 0)) end, 6) as to_prior_mean, since as secs_since_prev, n24 as prior_count_24h, n7 as prior_count_7d
 from w""")
 def pit_entity_block(spark, d):
-    ev = events(spark, d)
     block = pit.entity_columns("u", ["user_id"], "t", "event_id", "amount")
-    mean = pit.exact_prior_mean(["user_id"], "t", "event_id", "cents")
-    return ev.select("event_id", block["u_prior_count"].alias("prior_count"), mean.alias("prior_mean"), F.round(block["u_prior_amt_std"], 4).alias("prior_std"), r6(F.when(mean > 0, F.col("amount") / mean), "to_prior_mean"), block["u_secs_since_prev"].alias("secs_since_prev"), block["u_prior_count_24h"].alias("prior_count_24h"), block["u_prior_count_7d"].alias("prior_count_7d"))
+    return events(spark, d).select("event_id", block["u_prior_count"].alias("prior_count"), F.round(block["u_prior_amt_mean"], 9).alias("prior_mean"), F.round(block["u_prior_amt_std"], 4).alias("prior_std"), r6(block["u_amt_to_prior_mean"], "to_prior_mean"), block["u_secs_since_prev"].alias("secs_since_prev"), block["u_prior_count_24h"].alias("prior_count_24h"), block["u_prior_count_7d"].alias("prior_count_7d"))
 
 
 @query(f"""with {EVENTS} select event_id,
@@ -159,13 +157,9 @@ select event_id, n as n_seen, round((s + p * {SMOOTHING:g}) / (n + {SMOOTHING:g}
 
 
 def _te(spark, d, lag):
-    from pyspark.sql import Window
-
-    ev = events(spark, d)
-    prior = F.lit(encode.prior(parted(spark, d).where("part = 'train'"), "y"))
-    g = Window.partitionBy("k").orderBy("t")
-    seen = F.count("*").over(g.rangeBetween(Window.unboundedPreceding, -lag)) - F.count("*").over(g.rangeBetween(-lag, -lag))
-    return ev.select("event_id", seen.alias("n_seen"), r6(pit.lagged_target_encoding(["k"], "t", "y", prior, lag, SMOOTHING), "te"))
+    prior = encode.prior(parted(spark, d).where("part = 'train'"), "y")
+    out = pit.lagged_target_encoding(events(spark, d), "event_id", "t", "y", ["k"], prior, lag, SMOOTHING)
+    return out.select("event_id", F.col("k_seen").alias("n_seen"), r6(F.col("k_te"), "te"))
 
 
 @query(te_sql(LAG))
@@ -182,7 +176,7 @@ def te_zero_lag(spark, d):
 select event_id, round((sum(y) over (partition by k) + p * {SMOOTHING:g}) / (count(*) over (partition by k) + {SMOOTHING:g}), 6) as te from ev, p""")
 def te_full_leaky(spark, d):
     ev = events(spark, d)
-    return ev.select("event_id", r6(pit.full_target_encoding(["k"], "y", F.lit(encode.prior(ev, "y")), SMOOTHING), "te"))
+    return pit.full_target_encoding(ev, "event_id", "y", ["k"], encode.prior(ev, "y"), SMOOTHING).select("event_id", r6(F.col("k_te"), "te"))
 
 
 # --- splits
@@ -282,8 +276,7 @@ def partly_missing_columns(spark, d):
     return profile.partly_missing(labelled(spark, d), ["quality", "toxic", "n_chars", "lang"]).select("column", r6(F.col("missing_rate"), "missing_rate"))
 
 
-@query(f"""with {LABELLED} select 'quality' as "column", cast(0 as integer) as "group" from dl where doc_id = (select min(doc_id) from dl) union all
-select 'toxic', cast(0 as integer) from dl where doc_id = (select min(doc_id) from dl) union all select 'n_chars', cast(1 as integer) from dl where doc_id = (select min(doc_id) from dl) union all select 'lang', cast(1 as integer) from dl where doc_id = (select min(doc_id) from dl)""")
+@query(f"with {LABELLED}, m as (" + " union all ".join(f"select {i} as place, '{c}' as c, md5(string_agg(case when {c} is null then '1' else '0' end, '' order by doc_id)) as mask from dl" for i, c in enumerate(("quality", "toxic", "n_chars", "lang"))) + '), f as (select mask, min(place) as first from m group by mask) select c as "column", cast(dense_rank() over (order by first) - 1 as integer) as "group" from m join f using (mask)')
 def null_mask_groups(spark, d):
     return unsup.null_mask_groups(labelled(spark, d), "doc_id", ["quality", "toxic", "n_chars", "lang"])
 
@@ -332,10 +325,10 @@ def interaction_keys(spark, d):
     return events(spark, d).select("event_id", scalar.composite_key(F.col("user_id"), F.col("k")).alias("user_x_k"))
 
 
-@query(f"with {EVENTS} select event_id, case when y = 0 and amount < 100 then greatest(-10, least(10, amount)) end as clipped, cast(case when k is not null and cast(k as integer) + 1 < 50 then cast(k as integer) + 1 else 0 end as integer) as embedding_row from ev")
+@query(f"with {EVENTS} select event_id, case when y = 0 and amount < 100 then greatest(-10, least(10, amount)) end as clipped, cast(greatest(0, least(49, coalesce(cast(k as integer), -1) + 1)) as integer) as embedding_row from ev")
 def clip_and_embedding_code(spark, d):
     amount = scalar.finite(F.when((F.col("y") == 0) & (F.col("amount") < 100), F.col("amount")).otherwise(F.lit(float("inf"))))
-    return events(spark, d).select("event_id", scalar.clip(amount).alias("clipped"), scalar.embedding_code(F.coalesce(F.col("k").cast("int"), F.lit(-1)), 50).alias("embedding_row"))
+    return events(spark, d).select("event_id", scalar.clip(amount).alias("clipped"), scalar.embedding_code(F.col("k").cast("int"), 50).alias("embedding_row"))
 
 
 @query("""with m as (select l_linestatus, case when l_linenumber <= 2 then null else l_quantity end as q from lineitem), v as (select quantile_cont(q, 0.5) as med from m)
@@ -360,6 +353,27 @@ def one_hot(spark, d):
     return encode.one_hot(df, "p", levels, levels).drop("p")
 
 
+@query("""with p as (select o_orderkey, case when o_orderkey <= 30 then 'rare a' when o_orderkey <= 60 then 'rare b' else o_orderstatus end as p from orders), n as (select p, count(*) as n from p group by p)
+select o_orderkey, cast(p.p = 'F' as integer) as "p=F", cast(p.p = 'O' as integer) as "p=O", cast(p.p = 'P' as integer) as "p=P", cast(n < 50 as integer) as "p=infrequent" from p join n on p.p = n.p""")
+def one_hot_pooled(spark, d):
+    """Levels with under 50 rows share one column."""
+    key = F.col("o_orderkey")
+    df = table(spark, d, "orders").select(key, F.when(key <= 30, "rare a").when(key <= 60, "rare b").otherwise(F.col("o_orderstatus")).alias("p"))
+    counts = encode.small_vocabularies(df, ["p"])["p"]
+    return encode.one_hot(df, "p", encode.one_hot_levels(df, "p") or [], list(counts)).drop("p")
+
+
+@query("""with m as (select l_orderkey, l_linenumber, case when l_linenumber > 2 then l_quantity end as q, l_extendedprice as x, cast(null as double) as z from lineitem),
+v as (select quantile_cont(q, 0.5) as mq, quantile_cont(x, 0.5) as mx from m), f as (select l_orderkey, l_linenumber, coalesce(q, mq) as q, coalesce(x, mx) as x, coalesce(z, 0) as z from m, v),
+s as (select avg(q) as aq, stddev_pop(q) as sq, avg(x) as ax, stddev_pop(x) as sx from f)
+select l_orderkey, l_linenumber, round((q - aq) / sq, 5) as q, round((x - ax) / sx, 5) as x, cast(z as double) as z from f, s""")
+def v_prepared(spark, d):
+    """Median imputation and population scaling of a group of columns, one of them without any value."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 2, F.col("l_quantity")).alias("q"), F.col("l_extendedprice").alias("x"), F.lit(None).cast("double").alias("z"))
+    ready = unsup.GroupCompressor({0: ["q", "x", "z"]}).fit_scales(df).prepared(df)
+    return ready.select("l_orderkey", "l_linenumber", *(F.round(c, 5).alias(c) for c in ("q", "x", "z")))
+
+
 # --- metrics
 
 CURVE = f"{SCORES}, g as (select s, count(*) as n, sum(y) as tp from sc group by s), c as (select *, sum(n) over d as cum_n, sum(tp) over d as cum_tp, sum(n - tp) over a as cum_fp from g window d as (order by s desc), a as (order by s)), tot as (select sum(tp) as p, sum(n - tp) as neg from g)"
@@ -405,9 +419,15 @@ def segmented_queue(spark, d):
     return metrics.segmented_queue(scores(spark, d), "l_linestatus", "s", "y").select("l_linestatus", "n", "n_flagged", F.round("queue_share", 9).alias("queue_share"), F.round("recall", 9).alias("recall"))
 
 
-@query()
+@query(f"""with {CURVE}, q as (select quantile_cont(s, 0.99) as thr from sc), b as (select count(*) as n, avg(cast(y as double)) as base_rate, avg((greatest(0, least(1, s)) - y) * (greatest(0, least(1, s)) - y)) as brier,
+    count(*) filter (s >= thr) as n_flagged, cast(coalesce(sum(y) filter (s >= thr), 0) as double) as hit, cast(sum(y) as double) as pos, max(thr) as thr from sc, q),
+o as (select s, 2 * cum_tp / cast(cum_n + p as double) as f1, cum_tp / cast(cum_n as double) as pr, cum_tp / cast(p as double) as re from c, tot order by 2 desc, 1 limit 1)
+select b.n as n, {{}} from b, o""".format(", ".join(f"round({x}, 7) as {name}" for name, x in {
+    "base_rate": "base_rate", "average_precision": AP, "lift": f"{AP} / base_rate", "roc_auc": "(select sum(tp * (cum_fp - (n - tp) * 0.5E0)) / (cast(max(p) as double) * max(neg)) from c, tot)", "brier": "brier", "threshold": "thr", "precision": "hit / n_flagged", "recall": "hit / pos", "f1": "2 * hit / (n_flagged + pos)",
+    "oracle_threshold": "o.s", "oracle_f1": "o.f1", "oracle_precision": "o.pr", "oracle_recall": "o.re"}.items()) + ", n_flagged"))
 def metric_bundle(spark, d):
-    return metrics.evaluate_scores(scores(spark, d), "s", "y")
+    out = metrics.evaluate_scores(scores(spark, d), "s", "y")
+    return out.select(*(c if c in ("n", "n_flagged") else F.round(c, 7).alias(c) for c in out.columns))
 
 
 # --- profiles
@@ -433,9 +453,21 @@ def decile_rate(spark, d):
 
 @query(f"with {EVENTS} select y, count(amount) as n, round(sum(cents) / 100.0E0 / count(*), 6) as mean, round(stddev_samp(amount), 4) as std, min(amount) as min, round(quantile_cont(amount, 0.25), 6) as p25, round(quantile_cont(amount, 0.5), 6) as p50, round(quantile_cont(amount, 0.75), 6) as p75, max(amount) as max from ev group by y")
 def distribution_summary(spark, d):
-    ev = events(spark, d)
-    exact = ev.groupBy("y").agg((F.sum("cents") / F.lit(100.0) / F.count("*")).alias("mean"))
-    return profile.distribution(ev, "amount", "y").drop("mean").join(exact, "y").withColumns({c: F.round(c, 4 if c == "std" else 6) for c in ("mean", "std", "p25", "p50", "p75")})
+    out = profile.distribution(events(spark, d), "amount", "y")
+    return out.withColumns({c: F.round(c, 4 if c == "std" else 6) for c in ("mean", "std", "p25", "p50", "p75")})
+
+
+@query(f"""with {EVENTS}, w as (select cast(floor((t - (select min(t) from ev)) / {WEEK}) as integer) as week, count(*) as n, avg(cast(y as double)) as r from ev group by 1),
+a as (select list(round(r, 6) order by week) as r, min(n) as lo, max(n) as hi, min(r) as rlo, max(r) as rhi from w), e as (select user_id, count(*) as n, sum(y) as pos from ev group by user_id)
+select (select count(*) from ev) as n, (select cast(sum(y) as bigint) from ev) as n_positive, round((select avg(cast(y as double)) from ev), 6) as rate, cast((select floor(min(t) / {DAY}) from ev) as bigint) as first_day, cast((select floor(max(t) / {DAY}) from ev) as bigint) as last_day,
+    round(rlo, 6) as week_rate_min, round(rhi, 6) as week_rate_max, lo as week_n_min, hi as week_n_max, array_to_string(r[:4], ' ') as first_weeks, array_to_string(r[-4:], ' ') as last_weeks,
+    (select count(*) from e) as n_entities, round((select avg(n) from e), 6) as entity_mean, (select quantile_cont(n, 0.5) from e) as entity_median, (select quantile_cont(n, 0.95) from e) as entity_p95, (select max(n) from e) as entity_max, round((select avg(case when n = 1 then 1.0E0 else 0 end) from e), 6) as singleton_share, round((select avg(case when pos > 0 then 1.0E0 else 0 end) from e), 6) as any_positive_share,
+    round((select avg(amount) from ev where y = 1), 6) as mean_positive, round((select avg(amount) from ev where y = 0), 6) as mean_negative, round((select quantile_cont(amount, 0.5) from ev where y = 1), 6) as median_positive, round((select quantile_cont(amount, 0.5) from ev where y = 0), 6) as median_negative, round((select corr(amount, t) from ev), 6) as corr_amount_time
+from a""")
+def dgp_evidence(spark, d):
+    """Drift, entities and contrasts of groups as one row."""
+    out = profile.dgp_evidence(events(spark, d), "t", "y", "amount", "user_id")
+    return out.select(*(F.round(c, 6).alias(c) if k == "double" and c not in ("entity_median", "entity_p95") else F.col(c) for c, k in out.dtypes))
 
 
 @query(f"""with {EVENTS}, b as (select user_id, count(*) as n, sum(y) as pos from ev group by user_id)
@@ -485,6 +517,34 @@ def gain_share(spark, d):
     return profile.gain_share(imp).withColumn("share", F.round("share", 9))
 
 
+VIEW_NAMES = ["TransactionID", "TransactionDT", "isFraud", "amt_log", "V1", "V339", "Vx", "D1", "card1_te", "vpca_g00_0", "v_cluster", "v_cluster_dist"]
+
+
+@query("with c as (select unnest([" + ", ".join(f"'{c}'" for c in VIEW_NAMES) + """]) as c), f as (select c, regexp_matches(c, '^V[0-9]+$') as raw, starts_with(c, 'vpca_') or starts_with(c, 'v_cluster') as packed from c where c not in ('TransactionID', 'TransactionDT', 'isFraud'))
+select 'base' as view, c as "column" from f where not packed union all select 'unsup', c from f union all select 'compact', c from f where not raw""")
+def feature_views(spark, d):
+    """Columns of each view."""
+    from tidemark.plans.features import view_columns
+
+    return spark.createDataFrame([(v, c) for v in ("base", "unsup", "compact") for c in view_columns(VIEW_NAMES, v)], 'view string, `column` string')
+
+
+@query(f"with {EVENTS} select event_id, t, amount, coalesce(k, 'none') as k from ev")
+def attached_matrices(spark, d):
+    """Two matrices of the same rows joined on the row id, with the check that they are the same."""
+    from tidemark.plans.features import attach
+
+    ev = events(spark, d)
+    return attach(ev.select("event_id", "t"), ev.select("event_id", "amount", F.coalesce("k", F.lit("none")).alias("k")), "event_id")
+
+
+@query("select least(150, count(*)) as n, least(150, count(*)) as n_kept from documents")
+def limited_scan(spark, d):
+    """A scan with a row limit, which bounds the fact side of the join only."""
+    out = tables.left_join(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", limit=150)
+    return out.agg(F.count("*").alias("n"), F.count("has_identity_record").alias("n_kept"))
+
+
 # --- unsupervised
 
 
@@ -537,7 +597,7 @@ def kmeans_features(spark, d):
 
 @query()
 def stability_sweep(spark, d):
-    return unsup.stability_sweep(table(spark, d, "embeddings"), "embedding", ks=(4, 6), seeds=2)
+    return unsup.stability_sweep(table(spark, d, "embeddings"), "embedding")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
-from tidemark.catalog import DAY, EVENTS, PARTS, events, query, r6
+from tidemark.catalog import DAY, EVENTS, PARTS, events, query, r6, table
 from tidemark.models.gbm import GbmModel
 from tidemark.models.linear import LinearModel
 from tidemark.models.mlp import MlpModel
@@ -44,32 +44,42 @@ def feature_matrix(spark, d):
     return built.select(schema.ID, r6(F.col("amt_log"), "amt_log"), "dt_hour_assumed", "uid_card1_prior_count", "uid_card1_prior_count_24h")
 
 
-@query(f"""with {EVENTS} select a.event_id, count(b.event_id) as n, round(sum(b.cents) / 100.0E0 / nullif(count(b.event_id), 0), 4) as mean
-from ev a left join ev b on a.user_id = b.user_id and b.t < a.t where a.event_id % 50 = 0 group by a.event_id""")
+@query(f"""with {EVENTS} select a.event_id, count(b.event_id) as n, round(sum(b.cents) / 100.0E0 / nullif(count(b.event_id), 0), 9) as mean
+from ev a left join ev b on a.user_id = b.user_id and b.t < a.t group by a.event_id""")
 def theta_self_join(spark, d):
-    """Brute-force history of a stated set of rows: the same key and an earlier time."""
+    """Brute-force history of every row: the same key and an earlier time."""
     ev = events(spark, d)
-    a, b = ev.where("event_id % 50 = 0").alias("a"), ev.alias("b")
+    a, b = ev.alias("a"), ev.alias("b")
     joined = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.t") < F.col("a.t")), "left")
-    return joined.groupBy(F.col("a.event_id").alias("event_id")).agg(F.count("b.event_id").alias("n"), F.round(F.sum("b.cents") / F.lit(100.0) / F.nullif(F.count("b.event_id"), F.lit(0).cast("long")), 4).alias("mean"))
+    return joined.groupBy(F.col("a.event_id").alias("event_id")).agg(F.count("b.event_id").alias("n"), F.round(F.sum("b.cents") / F.lit(100.0) / F.nullif(F.count("b.event_id"), F.lit(0).cast("long")), 9).alias("mean"))
 
 
-@query("select cast(least(400, (select count(*) from events)) as bigint) as n_checked, cast(0 as bigint) as count_mismatches, cast(0 as bigint) as mean_mismatches")
+@query(f"""with {EVENTS}, w as (select event_id, count(*) over r as n, avg(amount) over r as m from ev window r as (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding)),
+b as (select a.event_id, count(b.event_id) as n, avg(b.amount) as m from ev a left join ev b on a.user_id = b.user_id and b.t < a.t group by a.event_id)
+select least(400, count(*)) as n_checked, count(*) filter (w.n != b.n) as count_mismatches, count(*) filter ((w.m is null) != (b.m is null) or abs(w.m - b.m) > 1e-3 + 1e-4 * abs(b.m)) as mean_mismatches from w join b using (event_id)""")
 def audit_pit_theta(spark, d):
     tx = transactions(spark, d)
     built = features.FeatureBuilder().fit(_train(tx)).transform(tx)
     return audit.audit_point_in_time(tx, built, "uid_card1", ["card1"], schema.TIME, schema.ID, schema.AMOUNT)
 
 
-@query(f"""with {BASE}, n as (select count(*) as n from ev), pt as (select tx.*, row_number() over (order by "TransactionDT", "TransactionID") as rn, n from tx, n),
-f as (select card1, count(*) as f from pt where rn <= n - round_even(0.2 * n, 0) - round_even(0.15 * n, 0) group by card1), g as (select card1, count(*) as g from pt group by card1)
-select 'card1_freq' as feature, count(*) filter (coalesce(f, 0) != g) as n_changed from tx left join f on tx.card1 = f.card1 left join g on tx.card1 = g.card1""")
+FITTED = {"card1_freq": "cast(user_id as varchar)", "card2_freq": "case when cast(k as integer) % 5 > 0 then cast(k as integer) % 5 end", "addr1_freq": "case when cast(k as integer) % 11 > 2 then cast(k as integer) % 11 end", "P_emaildomain_freq": "k"}
+
+
+@query(f"with {EVENTS}, {PARTS}, " + ", ".join(f"x{i} as (select {level} as l, part from pt), f{i} as (select l, count(*) filter (part = 'train') as f, count(*) as g from x{i} group by l)" for i, level in enumerate(FITTED.values())) + ", m as (" + " union all ".join(f"select '{name}' as feature, coalesce(sum(g) filter (f != g), 0)::bigint as n_changed from f{i}" for i, name in enumerate(FITTED)) + ") select * from m where n_changed > 0")
 def audit_fit_population(spark, d):
     tx = transactions(spark, d)
-    return audit.audit_fit_population(tx, _train(tx)).where("feature = 'card1_freq'")
+    return audit.audit_fit_population(tx, _train(tx)).where(F.col("feature").isin(list(FITTED)))
+
 
+INVARIANT = """select event_id, count(*) over r as uid_card1_prior_count, round(avg(amount) over r, 6) as uid_card1_prior_amt_mean, count(*) over s as uid_card1_prior_count_24h,
+    (coalesce(sum(y) over g, 0) + 2.5) / (count(*) over g + 50) as card1_te
+from {0} window r as (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding), s as (partition by user_id order by t range between 86400 preceding and current row exclude group), g as (partition by user_id order by t range between unbounded preceding and 2592001 preceding)"""
 
-@query("select 'none' as feature, cast(0 as bigint) as n_changed from events where false")
+
+@query(f"""with {EVENTS}, k as (select *, row_number() over (order by t, event_id) <= 0.6 * count(*) over () as past from ev),
+changed as (select event_id, user_id, t, case when past then amount else amount * 7 + 13 end as amount, case when past then y else 1 - y end as y from k), a as ({INVARIANT.format('ev')}), b as ({INVARIANT.format('changed')}),
+m as (""" + " union all ".join(f"select '{c}' as feature, count(*) filter (a.{c} is distinct from b.{c}) as n_changed from a join b using (event_id) join k using (event_id) where past" for c in ("uid_card1_prior_count", "uid_card1_prior_amt_mean", "uid_card1_prior_count_24h", "card1_te")) + ") select * from m where n_changed > 0")
 def audit_future_invariance(spark, d):
     tx = transactions(spark, d)
     return audit.audit_future_invariance(tx, features.FeatureBuilder().fit(_train(tx)))
@@ -81,6 +91,13 @@ def audit_planted_leak(spark, d):
     return audit.audit_future_invariance(tx, features.FeatureBuilder(target_encoding=features.leaky).fit(_train(tx)))
 
 
+@query(f"with {EVENTS} select event_id as \"TransactionID\", cast(cast(k as integer) % 30 as float) as \"D1\", cast(k as float) as \"V1\", cast(cast(k as integer) * 2 + 1 as float) as \"V2\" from ev")
+def raw_numerics(spark, d):
+    """Raw numeric columns pass through the feature builder as floats."""
+    tx = transactions(spark, d)
+    return features.FeatureBuilder().fit(_train(tx)).transform(tx).select(schema.ID, "D1", "V1", "V2")
+
+
 def _scored(spark: SparkSession, d: str, model) -> DataFrame:
     matrix = _matrix(spark, d)
     parts = split.chronological(matrix, schema.TIME, [schema.ID]).persist()
@@ -92,37 +109,49 @@ def _scored(spark: SparkSession, d: str, model) -> DataFrame:
 
 @query()
 def lr_scores(spark, d):
-    return _scored(spark, d, LinearModel(iterations=30))
+    return _scored(spark, d, LinearModel())
 
 
 @query()
 def gbt_scores(spark, d):
-    return _scored(spark, d, GbmModel(trees=6, depth=3, step=3))
+    return _scored(spark, d, GbmModel())
 
 
 @query()
 def mlp_scores(spark, d):
-    return _scored(spark, d, MlpModel(hidden=(32, 16), epochs=2))
-
-
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    """Few features, for queries that fit many models."""
-    return _matrix(spark, d).select(schema.ID, schema.TIME, schema.TARGET, "amt_log", "amt_decile", "uid_card1_prior_count", "card1_te", "V1").persist()
+    return _scored(spark, d, MlpModel())
 
 
 @query()
 def run_experiment(spark, d):
-    return evaluate.run_experiment(lambda: LinearModel(iterations=10), _small(spark, d), folds=2).per_fold
+    return evaluate.run_experiment(LinearModel, _matrix(spark, d)).per_fold
 
 
-@query()
+FIXED = "select '{0}' as model, 'base' as view, avg(m) as cv_mean, stddev_pop(m) as cv_std, max(h) as holdout_average_precision, max(f) as fit_seconds from (select l_linenumber, avg({1}) as m, (select max({1}) from lineitem) as h, 2.0E0 as f from lineitem where l_linenumber <= 5 group by l_linenumber)"
+
+
+@query(f"select model, view, round(cv_mean, 7) as cv_mean, round(cv_std, 7) as cv_std, holdout_average_precision, fit_seconds from ({FIXED.format('tax', 'l_tax')} union all {FIXED.format('discount', 'l_discount')})")
 def results_table(spark, d):
-    return evaluate.results_table([evaluate.run_experiment(lambda: LinearModel(iterations=10), _small(spark, d), view=v, folds=1) for v in ("base",)])
+    """The table of results, from fixed figures in the place of models' metrics."""
+    lines, out = table(spark, d, "lineitem"), []
+    for name, column in (("tax", "l_tax"), ("discount", "l_discount")):
+        folds = lines.where("l_linenumber <= 5").groupBy((F.col("l_linenumber") - 1).alias("fold")).agg(F.avg(column).alias("average_precision"))
+        holdout = {"average_precision": lines.agg(F.max(column)).first()[0]}
+        out.append(evaluate.Experiment(name, "base", folds, holdout, folds, None, None, 2.0))
+    return evaluate.results_table(out).withColumns({c: F.round(c, 7) for c in ("cv_mean", "cv_std")})
+
+
+@query()
+def model_comparison(spark, d):
+    """The linear model on two views, cross-validated and on the holdout."""
+    matrix = _matrix(spark, d)
+    return evaluate.results_table([evaluate.run_experiment(LinearModel, matrix, view=v) for v in ("base", "compact")])
 
 
 @query()
 def split_leakage(spark, d):
-    return evaluate.split_leakage(lambda: LinearModel(iterations=10), _small(spark, d), ["amt_log", "uid_card1_prior_count", "card1_te"], schema.TIME, schema.ID, schema.TARGET)
+    matrix = _matrix(spark, d)
+    return evaluate.split_leakage(LinearModel, matrix, features.view_columns(matrix.columns, "base"), schema.TIME, schema.ID, schema.TARGET)
 
 
 @query()
@@ -132,9 +161,9 @@ def te_leakage(spark, d):
     train, out = _train(tx), None
     for arm, options in (("lagged", {}), ("zero_lag", {"lag_days": 0}), ("full_table", {"target_encoding": features.leaky})):
         built = features.FeatureBuilder(**options).fit(train).transform(tx)
-        matrix = tx.select(schema.ID, schema.TIME, schema.TARGET).join(built.select(schema.ID, "amt_log", "card1_te", "addr1_te"), schema.ID)
+        matrix = tx.select(schema.ID, schema.TIME, schema.TARGET).join(built, schema.ID).persist()
         parts = split.chronological(matrix, schema.TIME, [schema.ID])
-        model = LinearModel(iterations=10).fit(parts.where("part = 'train'"), ["amt_log", "card1_te", "addr1_te"], schema.TARGET)
+        model = LinearModel().fit(parts.where("part = 'train'"), features.view_columns(matrix.columns, "base"), schema.TARGET)
         weights = spark.createDataFrame(model.feature_importance(), "feature string, gain double")
         share = profile.gain_share(weights).where("family = 'target encoding'").select("share")
         row = metrics.average_precision(model.score(parts.where("part = 'test'")), "score", schema.TARGET).join(share)
@@ -146,10 +175,11 @@ def te_leakage(spark, d):
 @query()
 def preprocessing_leakage(spark, d):
     """Average precision with imputation and scales fitted on training rows, and on training and test rows."""
-    parts = split.chronological(_small(spark, d), schema.TIME, [schema.ID]).persist()
-    names, out = ["amt_log", "uid_card1_prior_count", "V1"], None
+    matrix = _matrix(spark, d)
+    parts = split.chronological(matrix, schema.TIME, [schema.ID]).persist()
+    names, out = [c for c in features.view_columns(matrix.columns, "base") if not c.endswith("_code")], None
     for arm, population in (("train", parts.where("part = 'train'")), ("train_and_test", parts)):
-        prepared = LinearModel(iterations=10)
+        prepared = LinearModel()
         model = prepared.fit(population, names, schema.TARGET) if arm == "train" else _fitted_on(prepared, population, parts.where("part = 'train'"), names)
         row = metrics.average_precision(model.score(parts.where("part = 'test'")), "score", schema.TARGET).select(F.lit(arm).alias("arm"), "average_precision")
         out = row if out is None else out.unionByName(row)

@@ -67,8 +67,8 @@ def sigmoid(c: Column) -> Column:
 
 
 def embedding_code(code: Column, cardinality: int) -> Column:
-    """Code + 1 for an embedding table: unseen and missing at 0; unlike clipping, levels beyond the table are 0 too."""
-    return F.when((code >= 0) & (code + 1 < cardinality), code + 1).otherwise(F.lit(0)).cast("int")
+    """Code + 1 as a row of an embedding table: unseen and missing at 0, levels beyond the table at its last row."""
+    return F.greatest(F.lit(0), F.least(F.coalesce(code, F.lit(-1)) + 1, F.lit(cardinality - 1))).cast("int")
 
 
 def embedding_width(cardinality: int) -> int:

@@ -33,7 +33,7 @@ class GbmModel(RankingModel):
         counts = train.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
         weight = counts["n"] / max(counts["p"], 1)
         ready = self._prepared(train).select("__features", F.col(label).cast("double").alias("__y"), F.when(F.col(label) == 1, weight).otherwise(1.0).alias("__w")).cache()
-        gbt = GBTClassifier(featuresCol="__features", labelCol="__y", weightCol="__w", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, minInstancesPerNode=min(self.min_rows, max(1, ready.count() // 20)), subsamplingRate=self.row_share, featureSubsetStrategy=str(self.column_share), seed=self.seed)
+        gbt = GBTClassifier(featuresCol="__features", labelCol="__y", weightCol="__w", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, minInstancesPerNode=self.min_rows, subsamplingRate=self.row_share, featureSubsetStrategy=str(self.column_share), seed=self.seed)
         self.model = gbt.fit(ready)
         ready.unpersist()
         self.kept, self.history = len(self.model.trees), []

@@ -6,16 +6,18 @@ stay under BROADCAST_ROWS, and shuffled by level otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordering
+
 BROADCAST_ROWS = 200_000
 
 
 def lookup(df: DataFrame, table: DataFrame, level: Column, key: str, value: str, name: str, missing: Column) -> DataFrame:
     """Adds ``name``: the table's value at the level, NULL matching NULL; ``missing`` where the table has none."""
-    small = table.select(F.col(key).alias("__level"), F.col(value).alias("__value"))
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    small = table.select(F.col(key).alias("__level"), F.col(value).alias("__value")).persist()  # one fit for its count and its use
+    if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     joined = df.withColumn("__key", level).join(small, F.col("__key").eqNullSafe(F.col("__level")), "left")
     return joined.select(*df.columns, F.coalesce("__value", missing).alias(name))
@@ -28,8 +30,11 @@ def level_tables(train: DataFrame, columns: list[str], time: str, row_id: str) -
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns)))
     levels = train.select(time, row_id, pairs.alias("x")).groupBy("x.column", "x.level").agg(F.count("*").alias("n"), F.min(F.struct(time, row_id)).alias("first"))
-    own = Window.partitionBy("column").orderBy(F.col("level").isNull(), "first")  # one row for each level of a column
-    table = levels.withColumn("code", F.when(F.col("level").isNotNull(), F.row_number().over(own) - 1)).drop("first").persist()
+    levels = levels.select("column", "level", "n", F.col(f"first.{time}").alias("t"), F.col(f"first.{row_id}").alias("i"))
+    rows = ordering.running(levels, [F.col("column").asc(), F.col("level").isNull().asc(), F.col("t").asc(), F.col("i").asc()], {"rn": F.lit(1).cast("long")})
+    start = rows.groupBy(F.col("column").alias("__column")).agg(F.min("rn").alias("start"))  # a row for each column
+    code = F.when(F.col("level").isNotNull(), F.col("rn") - F.col("start")).cast("int")
+    table = rows.join(F.broadcast(start), F.col("column") == F.col("__column")).select("column", "level", "n", code.alias("code")).persist()
     return table, {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}  # a row for each column
 
 
@@ -58,12 +63,10 @@ def frequency_encode(df: DataFrame, table: DataFrame, column: str, name: str) ->
 
 
 def vocabulary(train: DataFrame, column: str, time: str, row_id: str) -> DataFrame:
-    """level, code: levels numbered from 0 by first appearance in (time, id); NULL has no code.
-
-    Codes come from a window over one row for each level.
-    """
+    """level, code: levels numbered from 0 by first appearance in (time, id); NULL has no code."""
     levels = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.min(F.struct(time, row_id)).alias("first"))
-    return levels.select("level", (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
+    levels = levels.select("level", F.col(f"first.{time}").alias("t"), F.col(f"first.{row_id}").alias("i"))
+    return ordering.numbered(levels, "t", ["i"], "rn").select("level", (F.col("rn") - 1).cast("int").alias("code"))
 
 
 def category_code(df: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
@@ -73,9 +76,7 @@ def category_code(df: DataFrame, table: DataFrame, column: str, name: str) -> Da
 
 def quantile_edges(train: DataFrame, column: str, bins: int = 10) -> list[float]:
     """Distinct exact quantiles, linearly interpolated; bins + 1 numbers at most reach the driver."""
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    found = train.agg(F.percentile(column, at).alias("e")).first()["e"]
-    return sorted(set(found or []))
+    return sorted(set(ordering.quantiles(train, {"x": F.col(column)}, [i / bins for i in range(bins + 1)])["x"] or []))
 
 
 def prior(train: DataFrame, label: str) -> float:
@@ -117,8 +118,7 @@ def one_hot(df: DataFrame, column: str, levels: list, known: list) -> DataFrame:
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians; 0 where a column has no value."""
-    row = train.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in columns}
+    return {c: q[0] if q else 0.0 for c, q in ordering.quantiles(train, {c: F.col(c) for c in columns}, [0.5]).items()} if columns else {}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

@@ -1,47 +1,245 @@
 """A total order over a whole table without moving it to one task.
 
-Rows are bucketed between quantiles of the leading key, numbered inside their bucket, and shifted by the number
-of rows in earlier buckets: one shuffle by bucket, and as many numbers as buckets on the driver.
+Cuts and quantiles need a few order statistics only. These are found by narrowing open intervals over the columns in
+question: scans that count and estimate, with no shuffle of rows. Running totals deal rows to ranges of the full sort
+key, ties included, add up inside each range in one pass, and shift by the sums of earlier ranges; the driver gets as
+many numbers as ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import operator
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+ACCURACY = 10_000  # of estimates: an interval shrinks by about this factor in each round
+CELLS = 1_000_000  # values that the driver sorts at once
+ROUNDS = 20
+Ranks = Callable[[int], Sequence[int]]
+
+
+def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, Ranks]]) -> dict[str, list]:
+    """By name, the values of a column at the ranks, from 1, that a function of its number of non-NULL values gives.
+
+    Small columns are sorted on the driver. Otherwise an interval (lo, hi) is kept for each rank, with the rows at or
+    below lo and those inside; its ends are values of the data, so a round always leaves fewer inside.
+    """
+    names = {f"x{i}": name for i, name in enumerate(wanted)}
+    rows = df.select(*(c.alias(x) for x, (c, _) in zip(names, wanted.values())))
+    sizes = rows.agg(F.count("*").alias("all"), *(F.count(x).alias(x) for x in names)).first()
+    ranks = {x: list(wanted[name][1](sizes[x])) for x, name in names.items()}
+    for x, held in ranks.items():
+        if held and not 1 <= min(held) <= max(held) <= sizes[x]:
+            raise ValueError(f"ranks {held} of {sizes[x]} values")
+    if sizes["all"] * len(names) <= CELLS:
+        table = rows.toArrow()  # CELLS values at most
+        return {name: _at(table.column(x), ranks[x]) for x, name in names.items()}
+    found: dict[tuple[str, int], object] = {}
+    open_ = {(x, r): (None, None, 0, sizes[x]) for x, held in ranks.items() for r in held}
+    for _ in range(ROUNDS):
+        narrow = [k for k, v in open_.items() if v[3] > CELLS]
+        if not narrow:
+            break
+        near = rows.agg(*(_estimate(x, r, *open_[x, r]).alias(f"e{i}") for i, (x, r) in enumerate(narrow))).first()
+        ends = {k: sorted(near[i]) for i, k in enumerate(narrow)}
+        counts = rows.agg(*(F.count_if(c).alias(f"c{i}_{j}") for i, k in enumerate(narrow) for j, c in enumerate(f(F.col(k[0]), F.lit(v)) for v in ends[k] for f in (operator.lt, operator.le)))).first()
+        for i, k in enumerate(narrow):
+            lo, hi, below, inside = open_.pop(k)
+            (a, b), r = ends[k], k[1]
+            under_a, upto_a, under_b, upto_b = counts[4 * i : 4 * i + 4]
+            if under_a < r <= upto_a:
+                found[k] = a
+            elif under_b < r <= upto_b:
+                found[k] = b
+            elif r <= under_a:
+                open_[k] = (lo, a, below, under_a - below)
+            elif r > upto_b:
+                open_[k] = (b, hi, upto_b, below + inside - upto_b)
+            else:
+                open_[k] = (a, b, upto_a, under_b - upto_a)
+    for (x, r), (lo, hi, below, inside) in open_.items():
+        values = rows.where(_inside(x, lo, hi)).select(x)
+        # estimates of wide integers and text do not narrow for ever; a sort does without them
+        found[x, r] = _at(values.toArrow().column(x), [r - below])[0] if inside <= CELLS else values.orderBy(x).offset(r - below - 1).first()[0]
+    return {name: [found[x, r] for r in ranks[x]] for x, name in names.items()}
+
+
+def _at(values: pa.ChunkedArray, ranks: list[int]) -> list:
+    values = pc.drop_null(values)
+    ordered = values.take(pc.sort_indices(values)) if ranks else values
+    return [ordered[r - 1].as_py() for r in ranks]
+
+
+def _inside(x: str, lo, hi) -> Column:
+    out = F.col(x).isNotNull()
+    out = out if lo is None else out & (F.col(x) > F.lit(lo))
+    return out if hi is None else out & (F.col(x) < F.lit(hi))
+
+
+def _estimate(x: str, rank: int, lo, hi, below: int, inside: int) -> Column:
+    p = (rank - below) / inside
+    at = F.array(*(F.lit(min(1.0, max(0.0, p + d / ACCURACY))) for d in (-2, 2)))
+    return F.percentile_approx(F.when(_inside(x, lo, hi), F.col(x)), at, ACCURACY)
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles by name, linearly interpolated between ranks; None for a column without values."""
+
+    def ranks(n: int) -> list[int]:
+        at = [p * (n - 1) for p in probabilities]
+        return [r for a in at for r in (int(np.floor(a)) + 1, int(np.ceil(a)) + 1)] if n else []
+
+    sizes: dict[str, int] = {}
+
+    def noting(name: str) -> Ranks:
+        return lambda n: (sizes.__setitem__(name, n), ranks(n))[1]
+
+    found = order_statistics(df, {name: (c, noting(name)) for name, c in columns.items()})
+    out: dict[str, list[float] | None] = {}
+    for name, values in found.items():
+        at = [p * (sizes[name] - 1) for p in probabilities]
+        pairs = zip(at, values[::2], values[1::2])
+        out[name] = [float(lo) if lo == hi else (np.ceil(a) - a) * float(lo) + (a - np.floor(a)) * float(hi) for a, lo, hi in pairs] if sizes[name] else None
+    return out
 
 
-def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds __bucket: how many of the key's approximate quantiles lie below it. Ties share a bucket."""
-    probabilities = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = df.agg(F.array_distinct(F.percentile_approx(key, probabilities, 10_000)).alias("c")).first()["c"] or []
-    bounds = F.array(*(F.lit(float(x)) for x in cuts)) if cuts else F.array().cast("array<double>")
-    return df.withColumn("__bucket", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+def grouped_quantiles(df: DataFrame, by: str, value: Column, probabilities: dict[str, float]) -> DataFrame:
+    """``by`` and a column for each name of ``probabilities``: exact quantiles of every group, however many there are."""
+    counts = df.select(F.col(by), value.alias("__x")).where("__x is not null").groupBy(by, "__x").agg(F.count("*").alias("__n"))
+    total = running(counts, [F.col(by).asc_nulls_first(), F.col("__x").asc()], {"__upto": F.col("__n")})
+    groups = total.groupBy(F.col(by).alias("__by")).agg(F.sum("__n").alias("__size"), F.min(F.col("__upto") - F.col("__n")).alias("__before"))
+    both = total.join(groups, F.col(by).eqNullSafe(F.col("__by")))
+    upto = F.col("__upto") - F.col("__before")
+    holds = lambda rank: (upto - F.col("__n") < rank) & (rank <= upto)
+    out = []
+    for name, p in probabilities.items():
+        at = F.lit(p) * (F.col("__size") - 1)
+        lo, hi = (F.max(F.when(holds(f(at) + 1), F.col("__x"))).cast("double") for f in (F.floor, F.ceil))
+        at = F.lit(p) * (F.first("__size") - 1)
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return both.groupBy(by).agg(*out)
 
 
-def running(df: DataFrame, key: str, columns: dict[str, Column], descending: bool = False, ties: list[str] = ()) -> DataFrame:
-    """Adds running totals, current row included, in the order of ``key`` and then ``ties``.
+def up_to(df: DataFrame, keys: list[str], ranks: Ranks) -> tuple[int, list[Column]]:
+    """The number of rows and, for each rank, the condition of the rows up to it in the order of ``keys`` (NULL first).
 
-    Each value of ``columns`` is what its column adds up.
+    The conditions compare a row with literals, so they need no shuffle and hold for any rows. ``keys`` must order
+    rows totally where a rank falls between rows.
     """
-    sign = -1 if descending else 1
-    parts = bucketed(df.withColumns({f"__{n}": c for n, c in columns.items()}), key)
-    parts = parts.withColumn("__bucket", F.col("__bucket") * sign)
-    sums = sorted(parts.groupBy("__bucket").agg(*(F.sum(f"__{n}").alias(n) for n in columns)).collect(), key=lambda r: r["__bucket"])  # as many rows as buckets
-    order = [F.col(key).desc() if descending else F.col(key).asc(), *ties]
-    inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = {}
-    for n in columns:
-        before, offsets = 0, []
-        for r in sums:
-            offsets += [F.lit(r["__bucket"]), F.lit(before)]
-            before += r[n] or 0
-        total = F.sum(f"__{n}").over(inside)
-        out[n] = total + F.create_map(*offsets)[F.col("__bucket")] if offsets else total
-    return parts.select(*df.columns, *(c.alias(n) for n, c in out.items()))
+    n, some = df.agg(F.count("*"), F.count(keys[0])).first()
+    return n, _conditions(df, keys, list(ranks(n)), n, some)
+
+
+def _conditions(df: DataFrame, keys: list[str], ranks: list[int], n: int, some: int) -> list[Column]:
+    """Conditions for several ranks among ``n`` rows, of which ``some`` have a leading key."""
+    if n * len(keys) <= CELLS:
+        return _sorted_here(df.select(*keys).toArrow(), keys, ranks)
+    x, nulls = F.col(keys[0]), n - some
+    inner = [r for r in ranks if nulls < r < n]
+    values = dict(zip(inner, order_statistics(df, {"x": (x, lambda _: [r - nulls for r in inner])})["x"]))
+    sizes = df.agg(F.lit(0), *(F.count_if(f(x, F.lit(values[r]))) for r in inner for f in (operator.lt, operator.le))).first()
+    out = []
+    for r in ranks:
+        if r <= 0 or r >= n:
+            out.append(F.lit(r >= n))
+        elif r <= nulls:
+            out.append(x.isNull() & _inner(df.where(x.isNull()), keys[1:], r, nulls))
+        else:
+            at, v = 1 + 2 * inner.index(r), F.lit(values[r])
+            below, upto = sizes[at] + nulls, sizes[at + 1] + nulls
+            out.append(x.isNull() | (x < v) | ((x == v) & _inner(df.where(x == v), keys[1:], r - below, upto - below)))
+    return out
+
+
+def _inner(df: DataFrame, keys: list[str], rank: int, n: int) -> Column:
+    """The condition for a rank among ``n`` rows that are equal in earlier keys."""
+    if rank == n:
+        return F.lit(True)
+    if not keys:
+        raise ValueError("the order is not total: a cut falls between rows that are equal in all keys")
+    return _conditions(df, keys, [rank], *df.agg(F.count("*"), F.count(keys[0])).first())[0]
+
+
+def _sorted_here(rows: pa.Table, keys: list[str], ranks: list[int]) -> list[Column]:
+    ordered = pc.sort_indices(rows, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start")
+    row = lambda at: [rows.column(k)[ordered[at].as_py()].as_py() for k in keys]
+    out = []
+    for r in ranks:
+        if r <= 0 or r >= rows.num_rows:
+            out.append(F.lit(r >= rows.num_rows))
+            continue
+        if row(r - 1) == row(r):
+            raise ValueError("the order is not total: a cut falls between rows that are equal in all keys")
+        condition = F.lit(True)
+        for k, v in reversed([*zip(keys, row(r - 1))]):
+            x = F.col(k)
+            condition = x.isNull() & condition if v is None else x.isNull() | (x < F.lit(v)) | ((x == F.lit(v)) & condition)
+        out.append(condition)
+    return out
+
+
+def running(df: DataFrame, order: list[Column], columns: dict[str, Column]) -> DataFrame:
+    """Adds running totals by name, current row included, in the given order, which should be total.
+
+    Each value of ``columns`` is what its column adds up. ``df`` is evaluated once: its rows are kept, dealt to ranges
+    and sorted, while the ranges' sums are taken and then until the session drops them.
+    """
+    names = {name: f"__r{i}" for i, name in enumerate(columns)}
+    dealt = df.withColumns({names[n]: c for n, c in columns.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("__range", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = sorted(dealt.groupBy("__range").agg(*(F.sum(c).alias(c) for c in names.values())).collect())  # as many rows as ranges
+    before: dict[int, list] = {}
+    total = [0] * len(names)
+    for r in sums:
+        before[r["__range"]] = total
+        total = [t + (v or 0) for t, v in zip(total, r[1:])]
+    held, passed, added = list(names.values()), df.columns, list(columns)
+    kinds = dict(dealt.select(*held).dtypes)
+    kinds = {c: "double" if k in ("double", "float") else "bigint" for c, k in kinds.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranges = batch.column("__range").to_numpy()
+            cuts = [*np.flatnonzero(np.diff(ranges, prepend=-1)).tolist(), len(ranges)]
+            for i, j in zip(cuts, cuts[1:]):  # ranges may share a task
+                start, part, sums_ = carry.setdefault(int(ranges[i]), list(before[int(ranges[i])])), batch.slice(i, j - i), []
+                for k, c in enumerate(held):
+                    upto = np.cumsum(pc.fill_null(part.column(c), 0).to_numpy(zero_copy_only=False), dtype=float if kinds[c] == "double" else np.int64) + start[k]
+                    start[k] = upto[-1].item()
+                    sums_.append(pa.array(upto))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *sums_], [*passed, *added])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {kinds[c]}" for n, c in names.items())])
+    return dealt.mapInArrow(add, schema)
 
 
 def numbered(df: DataFrame, time: str, ties: list[str], name: str = "rn") -> DataFrame:
-    """Adds the row number, from 1, in the order of time and ties."""
-    return running(df, time, {name: F.lit(1).cast("long")}, ties=ties)
+    """Adds the row number, from 1, in the order of time and ties (NULL first)."""
+    return running(df, [F.col(c).asc() for c in (time, *ties)], {name: F.lit(1).cast("long")})
+
+
+def falls(df: DataFrame, by: str, value: str) -> bool:
+    """Whether ``value`` is ever below an earlier one in the order of ``by``; one number of each range reaches the driver."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad, lo, hi = False, None, None
+        for batch in batches:
+            x = pc.drop_null(batch.column(1)).to_numpy(zero_copy_only=False)
+            if len(x):
+                bad |= bool((np.diff(x) < 0).any()) or (hi is not None and x[0] < hi)
+                lo, hi = x[0] if lo is None else lo, max(x.max(), x[0] if hi is None else hi)
+        if lo is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([bad]), pa.array([float(lo)]), pa.array([float(hi)])], ["part", "bad", "lo", "hi"])
+
+    rows = df.select(by, F.col(value).cast("double").alias("x")).repartitionByRange(F.col(by)).sortWithinPartitions(by)
+    found = sorted(rows.mapInArrow(check, "part long, bad boolean, lo double, hi double").collect())
+    return any(r["bad"] for r in found) or any(b["lo"] < a["hi"] for a, b in zip(found, found[1:]))

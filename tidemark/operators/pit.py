@@ -73,17 +73,48 @@ def row_prior_count(keys: list[str], time: str, row_id: str) -> Column:
     return F.count("*").over(Window.partitionBy(*keys).orderBy(time, row_id).rowsBetween(FIRST, -1))
 
 
-def lagged_target_encoding(keys: list[str], time: str, label: str, prior: Column, lag_seconds: float, smoothing: float) -> Column:
-    """(sum y + prior k) / (n + k) over rows of the level with t' < t - lag, strictly; without rows and k the prior."""
-    g, lag = Window.partitionBy(*keys).orderBy(time), int(lag_seconds)
-    whole, ties = g.rangeBetween(FIRST, -lag), g.rangeBetween(-lag, -lag)
-    y = F.col(label).cast("double")
-    n = F.count("*").over(whole) - F.count("*").over(ties)
-    s = F.coalesce(F.sum(y).over(whole), F.lit(0.0)) - F.coalesce(F.sum(y).over(ties), F.lit(0.0))
-    return F.when(n + F.lit(smoothing) > 0, (s + prior * smoothing) / (n + F.lit(smoothing))).otherwise(prior)
-
-
-def full_target_encoding(keys: list[str], label: str, prior: Column, smoothing: float) -> Column:
-    """Target encoding over all rows of the level: the leaky control, never a feature."""
-    p = Window.partitionBy(*keys)
-    return (F.sum(F.col(label).cast("double")).over(p) + prior * smoothing) / (F.count("*").over(p) + F.lit(smoothing))
+def _levels(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """(place, level, *more): a row for each row and column; NULL is a level."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("level")) for i, c in enumerate(columns))))
+    return df.select(pairs.alias("x"), *(c.alias(n) for n, c in more.items())).select("x.place", "x.level", *more)
+
+
+def _pivoted(found: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """One row per id: {column}_seen and {column}_te."""
+    at = lambda c, i: F.max(F.when(F.col("place") == i, F.col(c)))
+    return found.groupBy(F.col("__id").alias(row_id)).agg(*(at(kind, i).alias(f"{c}_{kind}") for i, c in enumerate(columns) for kind in ("seen", "te")))
+
+
+def _smoothed(n: Column, s: Column, prior: float, smoothing: float) -> Column:
+    weight = n + F.lit(float(smoothing))
+    return F.when(weight > 0, (s + F.lit(prior * smoothing)) / weight).otherwise(F.lit(float(prior)))
+
+
+def lagged_target_encoding(df: DataFrame, row_id: str, time: str, label: str, columns: list[str], prior: float, lag_seconds: float, smoothing: float, span: float = DAY) -> DataFrame:
+    """Per row id and column, {column}_seen and {column}_te: rows of the level with t' < t - lag, strictly, and
+    (sum y + prior k) / (n + k) over them; without rows and k the prior. Ids must be unique.
+
+    Labels are events at their time, rows are questions at theirs less the lag. Both are dealt by level and ``span``
+    of time, so the rows of a frequent level are spread over tasks; a level's spans are added up as one row each.
+    """
+    y, t = F.col(label).cast("double"), F.col(time).cast("double")
+    events = _levels(df, columns, __t=t, __y=y).select("place", "level", F.lit(None).cast(df.schema[row_id].dataType).alias("__id"), "__t", "__y", F.lit(1).alias("event"))
+    questions = _levels(df, columns, __id=F.col(row_id), __t=t - F.lit(float(lag_seconds))).select("place", "level", "__id", "__t", F.lit(None).cast("double").alias("__y"), F.lit(0).alias("event"))
+    both = events.union(questions).withColumn("span", F.floor(F.col("__t") / F.lit(float(span))))
+    keys = ["place", "level", "span"]
+    sums = both.groupBy(*keys).agg(F.sum("event").alias("n"), F.sum("__y").alias("s"))
+    earlier = Window.partitionBy("place", "level").orderBy("span").rowsBetween(FIRST, -1)
+    before = sums.select(F.col("place").alias("p"), F.col("level").alias("l"), F.col("span").alias("d"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s"))
+    inside = Window.partitionBy(*keys).orderBy("__t", "event").rowsBetween(FIRST, 0)  # of one time, questions come first
+    counted = both.select(*keys, "__id", "event", F.sum("event").over(inside).alias("own_n"), F.coalesce(F.sum("__y").over(inside), F.lit(0.0)).alias("own_s")).where("event = 0")
+    same = (F.col("place") == F.col("p")) & F.col("level").eqNullSafe(F.col("l")) & F.col("span").eqNullSafe(F.col("d"))
+    n, s = F.col("own_n") + F.col("n"), F.col("own_s") + F.col("s")
+    return _pivoted(counted.join(before, same).select("place", "__id", n.alias("seen"), _smoothed(n, s, prior, smoothing).alias("te")), row_id, columns)
+
+
+def full_target_encoding(df: DataFrame, row_id: str, label: str, columns: list[str], prior: float, smoothing: float) -> DataFrame:
+    """The same over all rows of the level: the leaky control, never a feature. One row per level is joined back."""
+    levels = _levels(df, columns, __id=F.col(row_id), __y=F.col(label).cast("double"))
+    table = levels.groupBy(F.col("place").alias("p"), F.col("level").alias("l")).agg(F.count("*").alias("n"), F.coalesce(F.sum("__y"), F.lit(0.0)).alias("s"))
+    joined = levels.join(table, (F.col("place") == F.col("p")) & F.col("level").eqNullSafe(F.col("l")))
+    return _pivoted(joined.select("place", "__id", F.col("n").alias("seen"), _smoothed(F.col("n"), F.col("s"), prior, smoothing).alias("te")), row_id, columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordering
@@ -19,23 +19,23 @@ def split_sizes(n: int, valid: float = VALID_FRACTION, test: float = TEST_FRACTI
 
 def chronological(df: DataFrame, time: str, ties: list[str], valid: float = VALID_FRACTION, test: float = TEST_FRACTION) -> DataFrame:
     """Adds part: train, valid or test, in time order."""
-    n = df.count()
-    n_train, n_valid, _ = split_sizes(n, valid, test)
-    rn = F.col("__rn")
-    part = F.when(rn <= n_train, "train").when(rn <= n_train + n_valid, "valid").otherwise("test")
-    return ordering.numbered(df, time, ties, "__rn").withColumn("part", part).drop("__rn")
+    _, (train, not_test) = ordering.up_to(df, [time, *ties], lambda n: (split_sizes(n, valid, test)[0], n - split_sizes(n, valid, test)[2]) if n else (0, 0))
+    return df.withColumn("part", F.when(train, "train").when(not_test, "valid").otherwise("test"))
 
 
-def block_of(rn: Column, n: int, blocks: int) -> Column:
-    """Block of a row number, from 0: n rows in blocks that differ by one row at most, larger ones first."""
+def block_ends(n: int, blocks: int) -> list[int]:
+    """The last row number of each block: n rows in blocks that differ by one row at most, larger ones first."""
     size, more = divmod(n, blocks)
-    at = rn - 1
-    return F.when(at < (size + 1) * more, F.floor(at / (size + 1))).otherwise(more + F.floor((at - (size + 1) * more) / max(size, 1))).cast("int")
+    return [size * (i + 1) + min(i + 1, more) for i in range(blocks)]
 
 
 def expanding_blocks(df: DataFrame, time: str, ties: list[str], folds: int = FOLDS) -> DataFrame:
     """Adds block 0..folds; fold i trains on blocks up to i and validates on block i + 1. ``df`` has no holdout rows."""
-    return ordering.numbered(df, time, ties, "__rn").withColumn("block", block_of(F.col("__rn"), df.count(), folds + 1)).drop("__rn")
+    _, ends = ordering.up_to(df, [time, *ties], lambda n: block_ends(n, folds + 1))
+    block = F.lit(folds)
+    for i in range(folds - 1, -1, -1):
+        block = F.when(ends[i], F.lit(i)).otherwise(block)
+    return df.withColumn("block", block.cast("int"))
 
 
 def fold(df: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
@@ -69,11 +69,7 @@ def assert_no_overlap(train: DataFrame, valid: DataFrame, time: str) -> None:
 
 def assert_sorted(df: DataFrame, row_id: str, time: str) -> None:
     """Raises unless times never fall in the order of ids."""
-    latest = ordering.bucketed(df.select(row_id, time), row_id)
-    inside = Window.partitionBy("__bucket").orderBy(row_id)
-    falls = latest.withColumn("__p", F.lag(time).over(inside)).groupBy("__bucket").agg(F.max((F.col("__p") > F.col(time)).cast("int")).alias("bad"), F.min(time).alias("lo"), F.max(time).alias("hi"))
-    across = falls.withColumn("__q", F.max("hi").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))  # one row for each bucket
-    if not across.where("bad = 1 or __q > lo").isEmpty():
+    if ordering.falls(df, row_id, time):
         raise ValueError("rows are not sorted by time")
 
 

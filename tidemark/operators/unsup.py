@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +54,18 @@ class GroupCompressor:
         self.groups, self.target, self.cap, self.k, self.starts, self.seed = groups, target, cap, k, starts, seed
         self.fitted = False
 
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        return standardise(impute(df, self.medians), self.scales)
-
-    def fit(self, train: DataFrame) -> GroupCompressor:
+    def fit_scales(self, train: DataFrame) -> GroupCompressor:
+        """Medians (0 for a column without values) and population deviations (1 for a constant column)."""
         columns = [c for g in self.groups.values() for c in g]
         self.medians = medians(train, columns)
         self.scales = population_scales(impute(train, self.medians), columns)
-        ready = self._prepared(train).cache()
+        return self
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        return standardise(impute(df, self.medians), self.scales)
+
+    def fit(self, train: DataFrame) -> GroupCompressor:
+        ready = self.fit_scales(train).prepared(train).cache()
         self.pca, self.names = {}, []
         for g, held in self.groups.items():
             vectors = ready.select(array_to_vector(F.array(*(F.col(c).cast("double") for c in held))).alias("v"))
@@ -89,7 +96,7 @@ class GroupCompressor:
         """row_id, components, v_cluster, v_cluster_dist and v_cluster_margin."""
         if not self.fitted:
             raise RuntimeError("fit before transform")
-        parts = self._components(self._prepared(df)).select(row_id, *self.names)
+        parts = self._components(self.prepared(df)).select(row_id, *self.names)
         return with_nearest(parts, self.names, self.centers)
 
 
@@ -104,27 +111,62 @@ def with_nearest(df: DataFrame, columns: list[str], centers: np.ndarray) -> Data
     return held.withColumns({"v_cluster": cluster, "v_cluster_dist": ordered[0], "v_cluster_margin": margin}).drop("__d")
 
 
-def stability_sweep(df: DataFrame, vector: str, ks: tuple[int, ...] = (4, 6, 8, 10, 12, 16), seeds: int = 5, sample: int = 60_000, silhouette_rows: int = 15_000) -> DataFrame:
-    """Per k: mean and least adjusted Rand index over pairs of seeds, exact silhouette on a bounded sample, inertia.
+def stability_sweep(df: DataFrame, vector: str, ks: tuple[int, ...] = (4, 6, 8, 10, 12, 16), seeds: int = 5, starts: int = 10, sample: int = 60_000, silhouette_rows: int = 15_000) -> DataFrame:
+    """Per k: mean and least adjusted Rand index over pairs of seeds, exact silhouette and inertia of the first seed.
 
-    The sample of ``sample`` rows is part of the method; the silhouette of at most ``silhouette_rows`` of them runs in numpy.
+    The sample of ``sample`` rows is part of the method and goes to every task once; a task fits one k and seed, the
+    best of ``starts`` starts. Labels of the sample come back, one byte each; k is at most 256.
     """
     spark = df.sparkSession
-    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).withColumn("h", F.xxhash64(F.col(vector))).orderBy("h").limit(sample).cache()
-    points = np.array([r[0] for r in rows.select(vector_to_array("features")).limit(silhouette_rows).collect()])
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample)
+    points = np.array([r[0] for r in rows.collect()])  # ``sample`` rows at most
+    held = spark.sparkContext.broadcast(points)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, seed in zip(batch.column("k").to_pylist(), batch.column("seed").to_pylist()):
+                x = held.value
+                labels, inertia = kmeans(x, k, seed, starts)
+                silhouette = _silhouette(x[:silhouette_rows], labels[:silhouette_rows]) if seed == 0 else None
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seed], pa.int32()), pa.array([inertia]), pa.array([silhouette], pa.float64()), pa.array([labels.astype(np.uint8).tobytes()])], ["k", "seed", "inertia", "silhouette", "labels"])
+
+    grid = spark.createDataFrame([(k, s) for k in ks for s in range(seeds)], "k int, seed int").repartition(len(ks) * seeds)
+    found = {(r["k"], r["seed"]): r for r in grid.mapInArrow(fit, "k int, seed int, inertia double, silhouette double, labels binary").collect()}
     out = []
     for k in ks:
-        models = [KMeans(k=k, seed=s, maxIter=50).fit(rows) for s in range(seeds)]
-        named = np.array([_assign(points, np.array(m.clusterCenters())) for m in models])
-        ari = [_ari(named[i], named[j]) for i in range(seeds) for j in range(i)]
-        best = min(range(seeds), key=lambda i: models[i].summary.trainingCost)
-        out.append((k, float(np.mean(ari)), float(np.min(ari)), _silhouette(points, named[best]), float(models[best].summary.trainingCost)))
-    rows.unpersist()
+        named = [np.frombuffer(found[k, s]["labels"], np.uint8) for s in range(seeds)]
+        ari = [_ari(named[i], named[j]) for i in range(seeds) for j in range(i)] or [1.0]
+        out.append((k, float(np.mean(ari)), float(np.min(ari)), found[k, 0]["silhouette"], found[k, 0]["inertia"]))
     return spark.createDataFrame(out, "k int, ari_mean double, ari_min double, silhouette double, inertia double")
 
 
-def _assign(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return ((points**2).sum(1)[:, None] - 2 * points @ centers.T + (centers**2).sum(1)).argmin(1)
+def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Labels and inertia of the best of several k-means runs, each from centers drawn by their squared distance."""
+    best: tuple[np.ndarray, float] = (np.zeros(len(x), int), 0.0 if not len(x) else np.inf)
+    k, squares = min(k, len(x)), (x**2).sum(1) if len(x) else None
+    for start in range(starts if k else 0):
+        rng = np.random.default_rng([seed, start])
+        centers = x[rng.integers(len(x), size=1)]
+        far = ((x - centers[0]) ** 2).sum(1)
+        while len(centers) < k:
+            at = rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))
+            centers = np.concatenate([centers, x[at : at + 1]])
+            far = np.minimum(far, ((x - x[at]) ** 2).sum(1))
+        labels = None
+        for _ in range(rounds):
+            distance = squares[:, None] - 2 * x @ centers.T + (centers**2).sum(1)
+            new = distance.argmin(1)
+            if labels is not None and (new == labels).all():
+                break
+            labels = new
+            size = np.bincount(labels, minlength=k)
+            sums = np.zeros_like(centers)
+            np.add.at(sums, labels, x)
+            centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers)
+        inertia = float(np.maximum(distance[np.arange(len(x)), labels], 0).sum())
+        if inertia < best[1]:
+            best = (labels, inertia)
+    return best
 
 
 def _ari(a: np.ndarray, b: np.ndarray) -> float:

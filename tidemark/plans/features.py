@@ -15,13 +15,13 @@ PIT_PREFIX, TE_SUFFIX = "uid_", "_te"
 FIT_SUFFIXES = ("_freq", "_te", "_code")
 
 
-def lagged(keys, time, label, prior, lag, smoothing) -> Column:
-    return pit.lagged_target_encoding(keys, time, label, prior, lag, smoothing)
+def lagged(df: DataFrame, columns: list[str], prior: float, lag: float, smoothing: float) -> DataFrame:
+    return pit.lagged_target_encoding(df, schema.ID, schema.TIME, schema.TARGET, columns, prior, lag, smoothing)
 
 
-def leaky(keys, time, label, prior, lag, smoothing) -> Column:
+def leaky(df: DataFrame, columns: list[str], prior: float, lag: float, smoothing: float) -> DataFrame:
     """A strategy that sees the future: the control that audits must catch."""
-    return pit.full_target_encoding(keys, label, prior, smoothing)
+    return pit.full_target_encoding(df, schema.ID, schema.TARGET, columns, prior, smoothing)
 
 
 def is_point_in_time(feature: str) -> bool:
@@ -39,7 +39,7 @@ class FeatureBuilder:
     a leaking one.
     """
 
-    def __init__(self, lag_days: float = schema.LABEL_LAG_DAYS, smoothing: float = schema.SMOOTHING, target_encoding: Callable[..., Column] = lagged, strict_ties: bool = False):
+    def __init__(self, lag_days: float = schema.LABEL_LAG_DAYS, smoothing: float = schema.SMOOTHING, target_encoding: Callable[..., DataFrame] = lagged, strict_ties: bool = False):
         self.lag, self.smoothing, self.target_encoding, self.strict_ties = lag_days * schema.DAY, smoothing, target_encoding, strict_ties
         self.fitted = False
 
@@ -84,9 +84,6 @@ class FeatureBuilder:
             keys = schema.present(held, keys)
             if keys and schema.AMOUNT in held:
                 out |= pit.entity_columns(prefix, keys, schema.TIME, schema.ID, schema.AMOUNT, self.strict_ties)
-        if self.prior is not None and schema.TARGET in held:
-            # NULL is a level of its own: windows group NULL with NULL
-            out |= {f"{c}_te": self.target_encoding([c], schema.TIME, schema.TARGET, F.lit(self.prior), self.lag, self.smoothing).cast("float") for c in schema.present(held, schema.TARGET_ENCODED)}
         numeric = schema.present(held, [c for block in schema.NUMERIC_BLOCKS.values() for c in block])
         raw = {c: F.col(c).cast("float") for c in numeric}
         wanted: dict[str, list] = {}
@@ -97,7 +94,12 @@ class FeatureBuilder:
         wanted = {c: outputs for c, outputs in wanted.items() if c in held}
         wide = keyed.select(schema.ID, *days, *(F.col(c).alias(f"__k_{c}") for c in wanted), *(c.alias(n) for n, c in (out | raw).items()))
         wide = encode.lookup_levels(wide, self.levels, self.sizes, wanted, "__k_{}")
-        return wide.select(*(c for c in wide.columns if not c.startswith("__k_")))
+        wide = wide.select(*(c for c in wide.columns if not c.startswith("__k_")))
+        encoded = schema.present(held, schema.TARGET_ENCODED)
+        if self.prior is None or schema.TARGET not in held or not encoded:
+            return wide
+        te = self.target_encoding(keyed, encoded, self.prior, self.lag, self.smoothing)  # narrow; NULL is a level
+        return wide.join(te.select(schema.ID, *(F.col(f"{c}_te").cast("float").alias(f"{c}_te") for c in encoded)), schema.ID, "left")
 
 
 def build_feature_matrix(df: DataFrame, train_mask: Column, **options) -> tuple[DataFrame, FeatureBuilder]:

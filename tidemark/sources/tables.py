@@ -94,26 +94,61 @@ def match_rate(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """MD5 of each file (of at most 2 GB) under a folder; no file gives no row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
-
-
-def schema_check(facts: DataFrame, dimension: DataFrame, key: str) -> dict:
-    """Widths, row counts, declared columns that are absent, hyphenated names, target presence and match rate."""
-    held = set(facts.columns) | set(dimension.columns)
-    rate = match_rate(facts, dimension, key).first()
-    return {
-        "fact_columns": len(facts.columns),
-        "dimension_columns": len(dimension.columns),
-        "fact_rows": rate["n"],
-        "dimension_rows": dimension.count(),
-        "hyphenated": sorted(c for c in held if c.startswith("id-")),
-        "absent_categoricals": [c for c in schema.CATEGORICAL if c not in held],
-        "v_columns": sum(c in held for c in schema.NUMERIC_BLOCKS["V"]),
-        "has_target": schema.TARGET in held,
-        "match_rate": rate["match_rate"],
-    }
+    """file, bytes, md5 of each file under a folder, of any size, streamed through the driver; no file gives no row."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder, glob)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in system.globStatus(where) or []:
+        if status.isFile():
+            stream = system.open(status.getPath())
+            try:
+                out.append((status.getPath().getName(), status.getLen(), spark._jvm.org.apache.commons.codec.digest.DigestUtils.md5Hex(stream)))
+            finally:
+                stream.close()
+    return spark.createDataFrame(out, "file string, bytes long, md5 string")
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    first = spark.read.text(path).limit(1).collect()
+    return first[0][0].split(",") if first else []
+
+
+def schema_check(spark: SparkSession, folder: str) -> dict:
+    """What the raw files hold against what is declared: widths, rows, discrepancies, target, match rate, checksums.
+
+    Headers are read as they are on disk, before names are normalised. Files that are absent are discrepancies, too.
+    """
+    report: dict = {"files": {}, "discrepancies": [], "checksums_md5": {r["file"]: r["md5"] for r in checksums(spark, folder, "*.csv").collect()}}
+    headers: dict[str, list[str]] = {}
+    for name, file in FILES.items():
+        path = f"{folder}/{file}"
+        if not _exists(spark, path):
+            report["discrepancies"].append(f"{file} is absent")
+            continue
+        headers[name] = _header(spark, path)
+        report["files"][name] = {"n_cols": len(headers[name]), "n_rows": spark.read.option("header", True).csv(path).count()}
+    held = {name: set(columns) for name, columns in headers.items()}
+    for one, two in (("train_transaction", "test_transaction"), ("train_identity", "test_identity")):
+        if one in held and two in held:
+            hyphens = [sorted(c for c in held[x] if c.startswith("id-")) for x in (one, two)]
+            if bool(hyphens[0]) != bool(hyphens[1]):
+                report["discrepancies"].append(f"{one} and {two} differ in hyphens of {', '.join(max(hyphens))}; read_csv renames them")
+            plain = [{c.replace("-", "_") if c.startswith("id-") else c for c in held[x]} - {schema.TARGET} for x in (one, two)]
+            if plain[0] != plain[1]:
+                report["discrepancies"].append(f"{one} and {two} differ in {', '.join(sorted(plain[0] ^ plain[1]))}")
+    facts, dimension = held.get("train_transaction", set()), {c.replace("-", "_") for c in held.get("train_identity", ())}
+    widths = {block: sum(c in facts | dimension for c in columns) for block, columns in schema.NUMERIC_BLOCKS.items()}
+    report["discrepancies"] += [f"block {b} has {widths[b]} columns of {len(columns)} declared" for b, columns in schema.NUMERIC_BLOCKS.items() if widths[b] != len(columns)]
+    if absent := [c for c in schema.CATEGORICAL if c not in facts | dimension]:
+        report["discrepancies"].append(f"declared categorical columns are absent: {', '.join(absent)}")
+    declared = {schema.ID, schema.TIME, schema.TARGET, schema.AMOUNT, *schema.CATEGORICAL, *(c for columns in schema.NUMERIC_BLOCKS.values() for c in columns)}
+    if odd := sorted((facts | dimension) - declared):
+        report["discrepancies"].append(f"columns are not declared: {', '.join(odd)}")
+    report |= {"target_in_train": schema.TARGET in facts, "target_in_test": schema.TARGET in held.get("test_transaction", set())}
+    if "train_transaction" in held and "train_identity" in held:
+        one, two = (spark.read.option("header", True).csv(f"{folder}/{FILES[x]}").select(schema.ID) for x in ("train_transaction", "train_identity"))
+        report["train_identity_match_rate"] = match_rate(one, two, schema.ID).first()["match_rate"]
+    return report
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -126,14 +161,20 @@ def write_json(values: dict, path: str, spark: SparkSession) -> None:
 
 
 def markdown(df: DataFrame, limit: int = 1_000) -> str:
-    """A small result as an aligned Markdown table: missing values as a dash, fractions with four digits."""
+    """A small result as an aligned Markdown table: missing values as a dash, fractions with four digits.
+
+    Raises for a result of more than ``limit`` rows; nothing is left out.
+    """
 
     def shown(x) -> str:
         if x is None or x != x:
             return "—"
         return f"{x:.4f}" if isinstance(x, float) else str(x)
 
-    rows = [[shown(x) for x in row] for row in df.limit(limit).collect()]
+    found = df.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a table for reading has at most {limit} rows")
+    rows = [[shown(x) for x in row] for row in found]
     width = [max(map(len, column)) for column in zip(df.columns, *rows)]
     line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, width)) + " |"
     return "\n".join([line(df.columns), line(["-" * w for w in width]), *map(line, rows)])
