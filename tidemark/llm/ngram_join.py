@@ -2,8 +2,8 @@
 
 Shingles are counted over all documents with the sharded exchange of ``blocks``. Each text orders its shingles
 from rare to frequent; two texts that reach the threshold share one of the first n - ceil(t n) + 1. A shingle of
-one text only can't be shared, so a text whose prefix holds nothing else has no partner and is done. Equal sets
-become one representative. Representatives meet in lists, one for each prefix shingle and band of set sizes, where
+one text, or of copies of one set, can't be shared, so a set whose prefix holds nothing else has no partner and is
+done. Equal sets become one representative. Representatives meet in lists, one for each prefix shingle and band of set sizes, where
 partners are in the same band or the next (length filter). The positional filter bounds what two sets share from the
 places of the shingle, the suffix filter from the suffixes behind it: these are cut at fixed pivots, equal parts of
 the hash space, and share at most the smaller count of each part. Both hold at the first shingle that two sets share.
@@ -30,6 +30,7 @@ PERCENT = 75  # least similarity in hundredths
 CHUNK = 1024  # members of a list that are compared with as many others at once, or sorted together for linking
 ROUNDS = 4  # rounds that link neighbours in lists before the rest is compared
 PIVOT_BITS = 6  # a suffix is cut into 2 ** PIVOT_BITS parts
+FEW_PAIRS = 200_000  # pairs whose ends every task learns
 FULL = 255  # a count that does not fit says nothing
 SALTS = 16  # tasks that the copies of one set are dealt to when they get their class
 
@@ -82,7 +83,7 @@ def _suffixes(ordered: np.ndarray, first: int, last: int) -> bytes:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document its set size and, where a partner is possible, set key, place and length of the prefix, and the set in its order."""
+    """Per document its set size and, where a partner is possible, set key, length of the prefix, the prefix's counts, and the set in its order."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = blocks.block_count(own)
     packed = blocks.pack(own, n, by=("doc_id", "text"))
@@ -96,7 +97,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         sets = shingle_sets(blocks.texts_of(table), width)
         keys = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
         counts = blocks.answers_by_level(answers, (np.uint64,))[1][0][0]
-        out: dict[str, list] = {k: [] for k in ("set_key", "first_pos", "prefix_end", "shingles")}
+        out: dict[str, list] = {k: [] for k in ("set_key", "prefix_end", "counts", "shingles")}
         for members in sets:
             size = len(members)
             count = counts[np.searchsorted(keys, members)]
@@ -106,14 +107,14 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for column in out.values():
                     column.append(None)
                 continue
-            ordered = members[np.lexsort((members, count))]
-            for name, x in (("set_key", _set_key(members)), ("first_pos", alone), ("prefix_end", length), ("shingles", ordered.tobytes())):
+            order = np.lexsort((members, count))
+            for name, x in (("set_key", _set_key(members)), ("prefix_end", length), ("counts", blocks.planes(count[order[:length]].astype(np.uint64))), ("shingles", members[order].tobytes())):
                 out[name].append(x)
-        kinds = {"first_pos": pa.int32(), "prefix_end": pa.int32()}
+        kinds = {"prefix_end": pa.int32()}
         sizes = pa.array([len(x) for x in sets], pa.int64())
         return pa.table([table.column("doc_id"), sizes, *(pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items())], ["doc_id", "n_shingles", *out])
 
-    return blocks.finish(packed, blocks.counts(packed, n, keys_of), last, "doc_id long, n_shingles long, set_key binary, first_pos int, prefix_end int, shingles binary")
+    return blocks.finish(packed, blocks.counts(packed, n, keys_of), last, "doc_id long, n_shingles long, set_key binary, prefix_end int, counts binary, shingles binary")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -121,8 +122,24 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else n.cast("int")
 
 
+def _shareable(groups: DataFrame) -> DataFrame:
+    """The sets of ``groups`` that may share a prefix shingle with another set, with first_pos, the place of the first such.
+
+    A shingle that occurs as often as the set has ``copies`` is in no other set; these lead the order.
+    """
+
+    def run(batches):
+        for batch in batches:
+            counts = [blocks.from_planes(x, np.uint64) for x in batch.column("counts").to_pylist()]
+            first = np.array([np.count_nonzero(c <= n) for c, n in zip(counts, batch.column("copies").to_pylist())], np.int32)
+            kept = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set_key", "rep", "n_shingles")), pa.array(first), *(batch.column(c) for c in ("prefix_end", "shingles"))], ["set_key", "rep", "n_shingles", "first_pos", "prefix_end", "shingles"])
+            yield kept.filter(pa.array(first < batch.column("prefix_end").to_numpy()))
+
+    return groups.mapInArrow(run, "set_key binary, rep long, n_shingles long, first_pos int, prefix_end int, shingles binary")
+
+
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, band, guest, rep, n, pos, suffix): prefix shingles that several sets share.
+    """(token, band, guest, rep, n, pos, suffix, k, component): prefix shingles that several sets share, in lists of k members.
 
     Every set is in the list of its own band and, as a guest, in that of the band below; guests meet no guests.
     """
@@ -139,20 +156,28 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
             take = lambda name: batch.column(name).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(token), take("rep"), take("n_shingles"), pa.array(pos), parts], ["token", "rep", "n", "pos", "suffix"])
 
-    spread_out = sets.select("rep", "n_shingles", "first_pos", "prefix_end", "shingles").mapInArrow(spread, "token long, rep long, n long, pos int, suffix binary")
-    own = _band(F.col("n"), percent)
-    both = spread_out.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", own - F.col("guest").cast("int"))
-    lists = both.groupBy("token", "band").agg(F.count("*").alias("k"), F.count_if(~F.col("guest")).alias("own")).where("k > 1 and own > 0").select("token", "band")
-    return both.join(lists, ["token", "band"]).select("token", "band", "guest", "rep", "n", "pos", "suffix")
+    def tokens(batches):
+        for batch in batches:
+            rows = zip(batch.column("first_pos").to_pylist(), batch.column("prefix_end").to_pylist(), batch.column("shingles").to_pylist())
+            found = [np.frombuffer(x, np.int64)[a:b] for a, b, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.int64)]))], ["token"])
+
+    places = sets.select("rep", "n_shingles", "first_pos", "prefix_end", "shingles")
+    several = places.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    spread_out = places.mapInArrow(spread, "token long, rep long, n long, pos int, suffix binary").join(several, "token")
+    both = spread_out.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", _band(F.col("n"), percent) - F.col("guest").cast("int"))
+    both = shared.materialise(both)
+    shared.release(sets.sparkSession)
+    lists = both.groupBy("token", "band").agg(F.count("*").alias("k"), F.count_if(~F.col("guest")).alias("own")).where("k > 1 and own > 0").select("token", "band", "k")
+    out = shared.materialise(both.join(lists, ["token", "band"]).select("token", "band", "guest", "rep", "n", "pos", "suffix", "k", F.col("rep").alias("component")))
+    shared.drop(both)
+    return out
 
 
-def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The lists that hold more than one class, with each member's class and the list's length."""
-    if found is None:
-        named = postings.withColumn("component", F.col("rep"))
-    else:
-        named = postings.drop("component", "k").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).where("least != most").select("token", "band", "k")
+def _open(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists that hold more than one class, with each member's class."""
+    named = postings.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("token", "band")
     return named.join(mixed, ["token", "band"])
 
 
@@ -186,7 +211,11 @@ def _neighbours(postings: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) and whether their whole sets reach the threshold."""
+    """The pairs (a, b) and whether their whole sets reach the threshold. Of few pairs, only the sets in question move."""
+    pairs = shared.materialise(pairs)
+    if pairs.count() <= FEW_PAIRS:
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        sets = sets.join(F.broadcast(ends), "rep", "left_semi")  # twice FEW_PAIRS numbers at most
     left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
     def verify(batches):
@@ -198,7 +227,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, linked boolean")
+    out = shared.materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, linked boolean"))
+    shared.drop(pairs)
+    shared.release(pairs.sparkSession)
+    return out
 
 
 def _compared(members: DataFrame, percent: int) -> DataFrame:
@@ -208,8 +240,11 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
     class need no comparison, so the largest class never meets itself.
     """
     classes = members.groupBy("token", "band", "component").agg(F.count("*").alias("size"))
-    largest = classes.groupBy("token", "band").agg(F.max_by("component", "size").alias("major"), (F.sum("size") - F.max("size")).alias("minors"))
-    rows = members.join(largest, ["token", "band"]).withColumn("minor", F.col("component") != F.col("major"))
+    largest = classes.groupBy("token", "band").agg(F.max_by("component", "size").alias("major"), (F.sum("size") - F.max("size")).alias("minors"), F.sum("size").alias("k"))
+    chunks = F.ceil(F.col("k") / CHUNK)
+    largest = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1))).drop("k")  # members of long lists learn it in many tasks
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), chunks).cast("int"))
+    rows = salted.join(largest, ["token", "band", "salt"]).withColumn("minor", F.col("component") != F.col("major"))
     # row i and column j of the chunks that meet: a minor is in its row, any member in its column
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep", F.lit("i")), F.ceil(F.col("minors") / CHUNK)).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep", F.lit("j")), F.ceil(F.col("k") / CHUNK)).cast("int"))
     last_i, last_j = (F.ceil(F.col(c) / CHUNK).cast("int") - 1 for c in ("minors", "k"))
@@ -267,21 +302,20 @@ def link(sets: DataFrame, percent: int) -> DataFrame:
     after each, lists of one class are done. What the rounds leave apart is compared in all lists that are left.
     """
     spark = sets.sparkSession
-    postings = shared.materialise(_open(_postings(sets, percent), None))
+    postings = _postings(sets, percent)
     tried, done, found = spark.createDataFrame([], "a long, b long, linked boolean"), [], None
     for turn in range(ROUNDS):
         new = _neighbours(postings, percent, turn).join(tried, ["a", "b"], "left_anti")
-        new = shared.materialise(_verified(new, sets, percent))
+        new = _verified(new, sets, percent)
         tried, done = tried.union(new), [*done, new]
         if not new.where("linked").isEmpty():
             found = shared.components(tried.where("linked"))
             last, postings = postings, shared.materialise(_open(postings, found))
             shared.drop(last, found)
-            shared.release(spark)
         elif turn > 1:
             break
     new = _compared(postings, percent).join(tried, ["a", "b"], "left_anti")
-    new = shared.materialise(_verified(new, sets, percent))
+    new = _verified(new, sets, percent)
     found = shared.components(tried.union(new).where("linked"))
     shared.drop(postings, new, *done)
     return found
@@ -299,14 +333,16 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     rows = shared.materialise(prefixes(docs, width, percent))
     shared.release(docs.sparkSession)
     possible = rows.where("set_key is not null and doc_id is not null")
-    best = F.min_by(F.struct("n_shingles", "first_pos", "prefix_end", "shingles"), "doc_id")
-    sets = shared.materialise(possible.groupBy("set_key").agg(F.min("doc_id").alias("rep"), best.alias("own")).select("set_key", "rep", "own.*"))
+    best = F.min_by(F.struct("n_shingles", "prefix_end", "counts", "shingles"), "doc_id")
+    groups = possible.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), best.alias("own")).select("set_key", "rep", "copies", "own.*")
+    reps = shared.materialise(possible.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    sets = shared.materialise(_shareable(groups))
     names = shared.materialise(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")))
     shared.drop(rows)
     found = link(sets, percent)
-    named = sets.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     named = shared.materialise(named)
-    shared.drop(sets)
+    shared.drop(sets, reps, found)
     shared.release(docs.sparkSession)
     salted = names.where("set_key is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a set's copies may be a third of all rows
