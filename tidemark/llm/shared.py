@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 EDGES = 250_000  # edges that one task holds
+_written: list[str] = []  # files of materialised frames
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -38,7 +39,15 @@ def folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if path := _file(out):
+        _written.append(path)
+    return out
+
+
+def _file(df: DataFrame) -> str | None:
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -50,9 +59,21 @@ def delete(spark: SparkSession, path: str) -> None:
 def drop(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more."""
     for df in frames:
-        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            delete(df.sparkSession, file.get())
+        if path := _file(df):
+            delete(df.sparkSession, path)
+            _written[:] = [x for x in _written if x != path]
+
+
+def sweep(spark: SparkSession, kept: int) -> None:
+    """Delete all but the first ``kept`` of the tables in ``written()``: those that a finished step has left."""
+    for path in _written[kept:]:
+        delete(spark, path)
+    del _written[kept:]
+
+
+def written() -> int:
+    """How many materialised tables there are."""
+    return len(_written)
 
 
 def release(spark: SparkSession) -> None:
