@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embed_dedup, exact_dedup, licenses, lm, ngram_join, packing, quality, token_output, toxicity
+from tidemark.llm import blocks, bpe, embed_dedup, exact_dedup, licenses, lm, ngram_join, packing, quality, shared, token_output, toxicity
 from tidemark.llm.queries import WORD_BPE, with_end
 from tidemark.llm.word_bpe import Encoder
 
@@ -115,6 +116,26 @@ def test_large_group_of_near_copies(spark):
     assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, c) for i, (_, c) in brute_force_join(data).items()}
 
 
+def test_pairs_are_verified_once(spark, monkeypatch):
+    """Long lists in many chunks: the result is that of brute force, and no pair is verified twice."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    verified, plain = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, sets, percent: (verified.append(found := plain(pairs, sets, percent)), found)[1])
+    monkeypatch.setattr(shared, "drop", lambda *frames: None)
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(30)]
+    data = []
+    for i in range(150):  # groups of near copies that share a passage, at similarities about the threshold
+        own = [f"g{i % 6}w{k}" for k in range(12 + i % 9)]
+        words = passage + own
+        words[int(rng.integers(0, len(words)))] = f"edit{i % 40}"
+        data.append((i, " ".join(words)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_force_join(data)
+    pairs = Counter((r["a"], r["b"]) for frame in verified for r in frame.collect())
+    assert pairs and max(pairs.values()) == 1 and all(a < b for a, b in pairs)
+
+
 def test_lm_scores(prose, odd, empty):
     for df in (prose, odd):
         rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in df.collect()]
@@ -134,7 +155,8 @@ def test_automaton_is_a_distribution(order):
     """Given any history, the probabilities of all known words and the unknown class add up to one."""
     texts = [b"a b a c", b"b a b", b"a a"]
     known = [b"a", b"b", b"c"]
-    probes = [b" ".join([*h, w]) for h in ([], [b"a"], [b"a", b"b"], [b"z", b"a"]) for w in (*known, b"zz")]
+    histories = ([], [b"a"], [b"a", b"b"], [b"z", b"a"], [b"c"])
+    probes = [b" ".join([*h, *w]) for h in histories for w in (*((x,) for x in (*known, b"zz")), ())]  # the last ends there
     grams = lm.Grams(texts + probes, order)
     train = np.array([True] * len(texts) + [False] * len(probes))
     counted, counts = grams.counted(train), []
@@ -147,10 +169,10 @@ def test_automaton_is_a_distribution(order):
     automaton = lm.Automaton(grams, counts, n, len(token_counts), once, twice)
     logp = automaton.walk(grams)
     at = [(int(grams.starts[k + len(texts)]), len(p.split())) for k, p in enumerate(probes)]
-    for i in range(0, len(probes), 4):
+    for i in range(0, len(probes), 5):
         words = sum(10 ** logp[a + size] for a, size in at[i : i + 4])
-        end = 10 ** logp[at[i][0] + at[i][1]] if at[i][1] == 0 else None
-        assert words < 1 and end is None
+        first, size = at[i + 4]
+        assert words + 10 ** logp[first + size + 1] == pytest.approx(1, abs=1e-12)
     # lanes of any length give what one walk gives
     segment, lm.SEGMENT = lm.SEGMENT, 2
     try:
@@ -363,7 +385,7 @@ def test_embedding_graph(spark):
         component = np.where(near, component[None, :], 10**9).min(1)
     assert [own[i]["component_id"] for i in range(len(x))] == component.tolist()
     assert all(own[i]["n_links"] == 0 for i in (1000, 1001, 1002, 1003, None))
-    audit = embed_dedup.audit_recall(df, got, every=2).first()
+    audit = embed_dedup.audit_recall(df, got).first()
     assert audit["n_found"] >= 0.9 * audit["n_true"]
     assert embed_dedup.near_duplicates(df.where("false")).isEmpty()
 
@@ -377,25 +399,93 @@ def near_copies(spark, seed, copies, others):
     return df, ((unit @ unit.T >= 0.93).sum(1) - 1).tolist()
 
 
-def test_links_of_split_shards_are_counted(spark, monkeypatch):
-    """Shards beyond the bound of one task still count every link, once."""
-    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 100)
-    monkeypatch.setattr(embed_dedup, "SHARD_MOST", 60)
-    monkeypatch.setattr(embed_dedup, "CHUNK", 90, raising=False)
-    df, links = near_copies(spark, 6, 120, 280)
-    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
+@pytest.mark.parametrize("most, rows, chunk", [(60, 40, 90), (150, 100, 100), (250, 200, 60)])
+def test_dealt_cells_lose_no_link(spark, monkeypatch, most, rows, chunk):
+    """Cells beyond the bound of one task are dealt again or compared by chunks; every link counts once, at both ends."""
+    for name, value in (("CELL_MOST", most), ("CELL_ROWS", rows), ("CHUNK", chunk), ("SHARD_ROWS", 30), ("SALT_ROWS", 100)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    df, links = near_copies(spark, 6, 200, 300)
+    got = {r["vec_id"]: r for r in embed_dedup.with_recall(df, audited=100).collect()}
     assert [got[i]["n_links"] for i in range(len(links))] == links
-    assert {got[i]["component_id"] for i in range(120)} == {0}
+    assert {got[i]["component_id"] for i in range(200)} == {0}
+    assert all(r["audit_recall"] == 1.0 and r["audit_links"] > 0 for r in got.values())
+
+
+def test_walk_crosses_shards(monkeypatch):
+    """The search runs over the united lists of all shards of a cell, and finds what brute force finds."""
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 24))
+    x = np.concatenate([b + rng.normal(scale=0.15, size=(int(rng.integers(1, 20)), 24)) for b in base])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    start, edges, medoids, shard = embed_dedup._graph(x)
+    assert len(medoids) > 10 and len(set(shard)) > 10
+    true = x @ x.T >= 0.93
+    found, seen = np.zeros_like(true), []
+    for i in range(0, len(x), 16):
+        nodes, score = embed_dedup._walked(x, x[i : i + 16], start, edges, medoids, 0.93)
+        found[i : i + 16, nodes] = score >= 0.93
+        seen.append(len(nodes))
+    assert (found & true).sum() >= 0.98 * true.sum() and not (found & ~true).any()
+    assert np.mean(seen) < 0.8 * len(x)  # a walk does not look at all nodes
+
+
+def brute_components(links):
+    parent = {x: x for pair in links for x in pair}
 
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
-def test_group_of_many_centers_is_whole(spark, monkeypatch):
-    """A group that draws many cluster centers loses no link, and none is counted twice."""
-    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 20)
-    monkeypatch.setattr(embed_dedup, "CHUNK", 100)
-    monkeypatch.setattr(embed_dedup, "SHARD_MOST", 150)
-    df, links = near_copies(spark, 7, 300, 100)
-    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
-    assert [got[i] for i in range(len(links))] == links
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("edges", [20, 1000])
+def test_components(spark, monkeypatch, edges):
+    """Chains, a hub, self links and null ends, in one task and in many."""
+    monkeypatch.setattr(shared, "EDGES", edges)
+    rng = np.random.default_rng(2)
+    links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(7, 7)] + [tuple(map(int, rng.integers(1000, 1100, 2))) for _ in range(70)]
+    got = shared.components(spark.createDataFrame([*links, (None, 3), (4, None)], "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == brute_components(links)
+    assert shared.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+@pytest.mark.parametrize("n", [8, 16, 32])
+def test_exchange_in_hops(spark, n):
+    """Counts come back right through several hops, and each hop's rows are at most the blocks times the fan-out."""
+    rng = np.random.default_rng(n)
+    data = [(i, " ".join(f"w{k}" for k in rng.integers(0, 400, 60))) for i in range(40 * n)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    packed = blocks.pack(docs, n, by=("doc_id", "text"))
+
+    def keys_of(table):
+        grams = lm.Grams(blocks.texts_of(table), 2)
+        return grams.counted(np.ones(table.num_rows, bool))
+
+    exchange = blocks.Exchange(packed, n, keys_of, (np.uint64,), fan=4)
+    assert len(exchange.hops) == {8: 2, 16: 2, 32: 3}[n] and max(exchange.radix) <= 4
+    for hop in exchange.hops:
+        assert hop.count() <= 2 * (4 * n + 64)  # two levels; rows of the last, rounded-up ranges besides
+
+    def totals(fan):
+        def last(table, answers):
+            grams, got = lm.Grams(blocks.texts_of(table), 2), blocks.answers_by_level(answers, (np.uint64,))
+            keys = [grams.keys[k][grams.sorted_by_key(k)] for k in (0, 1)]
+            assert all(len(got[k + 1][0][0]) == len(keys[k]) for k in (0, 1))
+            rows = [(int(k), int(c), int(got[level + 1][1][0])) for level in (0, 1) for k, c in zip(keys[level].view(np.int64), got[level + 1][0][0])]
+            return pa.table([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "n", "total"])
+
+        found = blocks.finish(packed, blocks.counts(packed, n, keys_of, fan), last, "key long, n long, total long")
+        return set(map(tuple, found.distinct().collect()))
+
+    whole = lm.Grams([t.encode() for _, t in data], 2).counted(np.ones(len(data), bool))
+    want = {(int(k), int(c), int(counts.sum())) for keys, counts in whole for k, c in zip(keys.view(np.int64), counts)}
+    assert totals(4) == totals(512) == want
 
 
 def test_pipeline_stages(spark, tmp_path):
