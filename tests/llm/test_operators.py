@@ -265,6 +265,13 @@ def test_license_scan(spark, odd, empty):
     data = [(1, body), (2, "Text before\nReleased under the MIT Licence\nafter"), (3, "not released under the MIT License."), (4, "intro\n\n" + mit + "\n\nend"), (5, None)]
     got = {(r["doc_id"], r["license_id"], r["whole_text"]) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT", True), (2, "MIT", False), (4, "MIT", False)}
+    # titled files of several paragraphs, whole and above other text
+    cuts = mit.replace("subject to the following conditions: ", "subject to the following conditions:\n\n").replace("of the Software. THE", "of the Software.\n\nTHE").replace("IMPLIED, INCLUDING", "IMPLIED,\nINCLUDING")
+    titled = f"The MIT License (MIT)\n\nCopyright (c) 1999 A. Body\nAll rights reserved.\n\n{cuts}\n"
+    bsd = next(t for k, t in licenses.KNOWN if k == "BSD-3-Clause").replace(": 1.", ":\n\n1.").replace(" 2.", "\n2.").replace(" 3.", "\n\n3.")
+    data = [(1, titled), (2, titled + "\nimport this\n\nprint(1)"), (3, "x = 1\n" + bsd + "\ny"), (4, cuts.replace("persons", "people"))]
+    got = {(r["doc_id"], r["license_id"], r["whole_text"]) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT", True), (2, "MIT", False), (3, "BSD-3-Clause", False)}
     assert licenses.scan(odd).isEmpty() and licenses.scan(empty).isEmpty()
     plan = licenses.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -90,25 +90,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _canonical_sql(c: str) -> str:
     """The canonical form of a text column, as licenses.by_lines has it."""
     out = f"regexp_replace(lower(coalesce({c}, '')), '\\r\\n?', chr(10), 'g')"
-    out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    for line in (licenses.COPYRIGHT_LINE, licenses.TITLE_LINE):
+        out = f"regexp_replace({out}, '{line}', '', 'g')"
     for source, target in licenses.SPELLINGS:
         out = f"replace({out}, '{source}', '{target}')"
     return f"regexp_replace({out}, '{licenses.OTHER_SIGNS}', ' ', 'g')"
 
 
 def _license_sql() -> str:
-    """License hits by comparing canonical texts themselves, without digests."""
+    """License hits by matching canonical texts themselves between line ends, without digests."""
     quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.KNOWN)
     whole = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))".format
     return f"""
         with k as (select min(id) as license_id, body from (select id, {whole(_canonical_sql('t'))} as body from (values {quoted}) v(id, t)) group by body),
         d as (select doc_id, {_canonical_sql('text')} as body from documents),
-        w as (select doc_id, body, {whole('body')} as whole from d),
-        u as (
-            select doc_id, whole, whole as unit from w
-            union select doc_id, whole, {whole('p')} from (select doc_id, whole, unnest(regexp_split_to_array(body, '\\n ?\\n')) as p from w)
-            union select doc_id, whole, trim(l) from (select doc_id, whole, unnest(string_split(body, chr(10))) as l from w))
-        select doc_id, license_id, count(*) as n_units, bool_or(unit = whole) as whole_text from u join k on u.unit = k.body group by doc_id, license_id
+        w as (select doc_id, {whole('body')} as whole, chr(10) || array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x != ''), chr(10)) || chr(10) as lines from d)
+        select doc_id, license_id, count(*) as n_units, bool_or(body = whole) as whole_text
+        from w join k on contains(replace(lines, chr(10), ' '), ' ' || body || ' ') and regexp_matches(lines, chr(10) || replace(body, ' ', '[ \\n]') || chr(10)) group by doc_id, license_id
     """
 
 
