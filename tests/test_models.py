@@ -19,7 +19,7 @@ def synth(spark):
     return spark.createDataFrame(data, "id int, amt_log double, V1 double, V2 double, ProductCD_code int, y int").cache()
 
 
-@pytest.mark.parametrize("make,ranked", [(lambda: LinearModel(iterations=20), True), (lambda: GbmModel(trees=4, depth=3, step=2), True), (lambda: MlpModel(hidden=(16, 8), epochs=3, batch=64, rate=0.01), False)])
+@pytest.mark.parametrize("make,ranked", [(lambda: LinearModel(iterations=20), True), (lambda: GbmModel(trees=4, depth=3, min_rows=20), True), (lambda: MlpModel(hidden=(16, 8), epochs=3, batch=64, rate=0.01), False)])
 def test_contract(spark, synth, make, ranked):
     train, test = synth.where("id < 600"), synth.where("id >= 600")
     model = make().timed_fit(train, FEATURES, "y", test)
@@ -43,3 +43,86 @@ def test_registered_compression_takes_whole_vectors(spark, tmp_path):
     assert catalog._wide_vectors(spark, str(tmp_path)).columns == ["vec_id", "label", *names]
     own = catalog._compressor()
     assert [c for g in own.groups.values() for c in g] == names and (own.cap, own.starts) == (12, 10)
+
+
+def test_stops_at_the_best_tree(spark, synth):
+    """The history holds the average precision of every prefix of the trees, and the best one is kept."""
+    from tidemark.operators import metrics
+
+    train, test = synth.where("id < 600"), synth.where("id >= 600")
+    model = GbmModel(trees=6, depth=2, min_rows=20, patience=2).fit(train, FEATURES, "y", test)
+    assert [h["trees"] for h in model.history] == list(range(1, len(model.history) + 1))
+    best = max(model.history, key=lambda h: (h["valid_pr_auc"], -h["trees"]))
+    assert model.kept == best["trees"] and len(model.history) in (6, model.kept + 2)
+    for h in model.history[:3]:
+        plain = metrics.average_precision(model._margin(model._prepared(test), h["trees"]), "__margin", "y").first()[0]
+        assert h["valid_pr_auc"] == pytest.approx(plain)
+
+
+def test_optimiser_state_is_carried(spark, synth):
+    model = MlpModel(hidden=(8,), epochs=3, batch=64).fit(synth, FEATURES, "y")
+    assert model.layers.steps >= 3 and set(model.layers.m) == set(model.layers.v) <= set(model.layers.p)
+    assert len(model.history) == 3 and model.history[-1]["train_loss"] < model.history[0]["train_loss"]
+
+
+def test_stability_sweep(spark):
+    """Three clear clouds: every seed finds them, and the figures are those of brute force."""
+    from tidemark.operators import unsup
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(40, 3)) * 0.1 + c for c in ([0, 0, 0], [5, 0, 0], [0, 5, 5])])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    got = {r["k"]: r for r in unsup.stability_sweep(df, "v", ks=(2, 3), seeds=3, starts=4).collect()}
+    assert got[3]["ari_mean"] == got[3]["ari_min"] == 1
+    centers, named = x.reshape(3, 40, 3).mean(1), np.repeat(np.arange(3), 40)
+    assert got[3]["inertia"] == pytest.approx(((x - centers[named]) ** 2).sum())
+    distance = np.linalg.norm(x[:, None] - x, axis=2)
+    silhouette = []
+    for i in range(len(x)):
+        means = [distance[i, named == k].sum() / ((named == k).sum() - (k == named[i])) for k in range(3)]
+        a, b = means[named[i]], min(m for k, m in enumerate(means) if k != named[i])
+        silhouette.append((b - a) / max(a, b))
+    assert got[3]["silhouette"] == pytest.approx(np.mean(silhouette), abs=1e-6) and got[2]["silhouette"] < got[3]["silhouette"]
+
+
+def test_compressor(spark):
+    """Components are those of numpy's decomposition up to their sign; an empty column counts as its median 0."""
+    from tidemark.operators import unsup
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame([(i, *map(float, r), None) for i, r in enumerate(x)], "id int, a double, b double, c double, d double, e double")
+    own = unsup.GroupCompressor({0: ["a", "b"], 1: ["c", "d", "e"]}, k=3, starts=2).fit(df)
+    out = own.transform(df, "id").orderBy("id").toPandas()
+    z = (x - x.mean(0)) / x.std(0)
+    for g, columns in ((0, [0, 1]), (1, [2, 3])):
+        _, _, v = np.linalg.svd(z[:, columns])
+        assert np.abs(out[f"vpca_g{g:02d}_0"].to_numpy()) == pytest.approx(np.abs(z[:, columns] @ v[0]), abs=1e-6)
+    points = out[own.names].to_numpy()
+    distance = np.linalg.norm(points[:, None] - own.centers, axis=2)
+    assert out["v_cluster"].tolist() == distance.argmin(1).tolist() and out["v_cluster_dist"].to_numpy() == pytest.approx(distance.min(1))
+    with pytest.raises(RuntimeError):
+        unsup.GroupCompressor({0: ["a"]}).transform(df, "id")
+
+
+def test_harness(spark, synth):
+    """Folds, holdout, table and files of a run."""
+    from tidemark.plans import evaluate
+
+    matrix = synth.withColumn("t", synth["id"].cast("double"))
+    run = evaluate.run_experiment(lambda: LinearModel(iterations=10), matrix.drop("ProductCD_code"), time="t", row_id="id", label="y", folds=2)
+    assert [r["fold"] for r in run.per_fold.orderBy("fold").collect()] == [0, 1] and 0 < run.holdout["roc_auc"] <= 1
+    row = evaluate.results_table([run]).first()
+    assert row["model"] == "linear" and row["holdout_roc_auc"] == run.holdout["roc_auc"]
+    shown = run.per_fold.toPandas()["average_precision"]
+    assert row["cv_mean"] == pytest.approx(shown.mean()) and row["cv_std"] == pytest.approx(shown.std(ddof=0))
+
+
+def test_saved_results(spark, synth, tmp_path):
+    from tidemark.plans import evaluate
+
+    matrix = synth.select("id", synth["id"].cast("double").alias("t"), "y", "amt_log", "V1")
+    run = evaluate.run_experiment(lambda: LinearModel(iterations=5), matrix, time="t", row_id="id", label="y", folds=1)
+    evaluate.save([run], str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == 1
+    assert {p.name for p in (tmp_path / "linear_base").iterdir()} >= {"per_fold", "calibration", "holdout", "importance"}

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.operators import encode, metrics, ordering, profile, split, unsup
@@ -80,8 +81,87 @@ def test_csv_source(spark, tmp_path):
     assert df.columns == ["TransactionID", "id_01", "DeviceType"] and dict(df.dtypes)["TransactionID"] == "bigint"
     with pytest.raises(FileNotFoundError):
         tables.read_csv(spark, "train_transaction", str(tmp_path))
-    assert tables.checksums(spark, str(tmp_path), "*.csv").first()["file"] == "train_identity.csv"
+    import hashlib
+
+    found = tables.checksums(spark, str(tmp_path), "*.csv").first()
+    assert (found["file"], found["md5"]) == ("train_identity.csv", hashlib.md5((tmp_path / "train_identity.csv").read_bytes()).hexdigest())
     assert tables.markdown(df).splitlines()[0].startswith("| TransactionID")
+    with pytest.raises(ValueError):
+        tables.markdown(df, limit=0)
+
+
+def test_schema_check(spark, tmp_path):
+    """The report names what differs on disk, before names are normalised."""
+    (tmp_path / "train_transaction.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt,V1,odd\n1,0,5,1.5,2,x\n2,1,6,2.5,3,y\n")
+    (tmp_path / "test_transaction.csv").write_text("TransactionID,TransactionDT,TransactionAmt,V1,odd\n3,7,1.5,2,x\n")
+    (tmp_path / "train_identity.csv").write_text("TransactionID,id_01,DeviceType\n1,0.5,mobile\n")
+    (tmp_path / "test_identity.csv").write_text("TransactionID,id-01,DeviceType\n3,0.5,mobile\n")
+    report = tables.schema_check(spark, str(tmp_path))
+    assert report["files"]["train_transaction"] == {"n_cols": 6, "n_rows": 2} and len(report["checksums_md5"]) == 4
+    told = " | ".join(report["discrepancies"])
+    assert "sample_submission.csv is absent" in told and "id-01" in told and "block V has 1 columns of 339" in told and "not declared: odd" in told and "ProductCD" in told
+    assert report["target_in_train"] and not report["target_in_test"] and report["train_identity_match_rate"] == 0.5
+
+
+def test_cache_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    path = str(tmp_path / "cache")
+    assert tables.cached_parquet(df, path).count() == 2
+    assert tables.cached_parquet(df.where("x = 1"), path).count() == 2  # built once
+    tables.write_csv(df, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    tables.write_json({"b": 1, "a": 2.5}, str(tmp_path / "json"), spark)
+    assert spark.read.text(str(tmp_path / "json")).first()[0] == '{"a": 2.5, "b": 1}'
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 40])
+def test_order_statistics(spark, monkeypatch, cells):
+    """Cuts, blocks and quantiles with ties and NULLs, sorted here and by narrowing."""
+    monkeypatch.setattr(ordering, "CELLS", cells)
+    rng = np.random.default_rng(0)
+    data = [(i, None if i % 37 == 0 else float(rng.integers(0, 25)), 2**60 + i) for i in rng.permutation(900).tolist()]
+    df = spark.createDataFrame(data, "id long, t double, wide long").cache()
+    rank = {r[0]: k + 1 for k, r in enumerate(sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0])))}
+    parts = {r["id"]: r["part"] for r in split.chronological(df, "t", ["id"]).collect()}
+    assert parts == {i: "train" if k <= 585 else "valid" if k <= 720 else "test" for i, k in rank.items()}
+    blocks = {r["id"]: r["block"] for r in split.expanding_blocks(df, "t", ["id"], 4).collect()}
+    assert blocks == {i: (k - 1) // 180 for i, k in rank.items()}
+    some = [r[1] for r in data if r[1] is not None]
+    q = ordering.quantiles(df, {"t": df["t"], "none": df["t"] * None}, [0, 0.1, 0.333, 0.5, 1])
+    assert q["t"] == pytest.approx(np.quantile(some, [0, 0.1, 0.333, 0.5, 1])) and q["none"] is None
+    assert ordering.order_statistics(df, {"w": (df["wide"], lambda n: [1, 450, n])})["w"] == [2**60, 2**60 + 449, 2**60 + 899]
+
+
+def test_cut_within_equal_rows_is_refused(spark):
+    df = spark.createDataFrame([(1, 1.0)] * 10, "id long, t double")
+    with pytest.raises(ValueError, match="total"):
+        split.chronological(df, "t", ["id"])
+
+
+def test_splits_move_no_rows(toy):
+    """Parts and blocks are conditions on the row itself: one scan, no exchange."""
+    plan = split.expanding_blocks(split.chronological(toy, "t", ["id"]).where("part != 'test'"), "t", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0] and plan.split("InMemoryRelation")[0].count("InMemoryTableScan") == 1
+
+
+def test_running_totals_scan_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 7 as v").write.parquet(str(tmp_path / "x"))
+    out = ordering.running(spark.read.parquet(str(tmp_path / "x")), [F.col("id").desc()], {"total": F.col("v"), "half": F.col("v") * 0.5})
+    above = out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]  # what is kept lies below
+    assert "FileScan" not in above and "Exchange" not in above and above.count("InMemoryTableScan") == 1
+    got = {r["id"]: (r["total"], r["half"]) for r in out.collect()}
+    total = 0
+    for i in range(4999, -1, -1):
+        total += i % 7
+        assert got[i] == (total, total / 2)
+
+
+def test_grouped_quantiles(spark):
+    rng = np.random.default_rng(2)
+    data = [(None if i % 5 == 0 else i % 5, float(rng.integers(0, 30)) if i % 11 else None) for i in range(700)]
+    got = {r["g"]: (r["a"], r["b"]) for r in ordering.grouped_quantiles(spark.createDataFrame(data, "g int, x double"), "g", F.col("x"), {"a": 0.25, "b": 0.5}).collect()}
+    for g in {r[0] for r in data}:
+        assert got[g] == pytest.approx(tuple(np.quantile([x for k, x in data if k == g and x is not None], [0.25, 0.5])))
 
 
 def test_exact_median_and_population_scale(spark):

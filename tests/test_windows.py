@@ -92,3 +92,23 @@ def test_planted_leak_is_found(tiny):
     past = tiny.withColumn(schema.TARGET, F.when(F.col(schema.ID) == 6, 1).otherwise(F.col(schema.TARGET)))
     moved = audit.changed_cells(leaking.transform(tiny), leaking.transform(past))
     assert "card1_te" in [r["feature"] for r in moved.collect()]
+
+
+@pytest.mark.parametrize("lag,smoothing,span", [(0, 0.0, 10.0), (7.5, 2.0, 10.0), (25, 1.0, 1e9)])
+def test_lagged_encoding_by_brute_force(spark, lag, smoothing, span):
+    """Ties, a NULL level, lags that are no whole seconds, and spans that cut levels into many pieces."""
+    import random
+
+    rng = random.Random(3)
+    data = [(i, float(rng.randint(0, 60)) / 2, rng.randint(0, 1), rng.choice(["a", "a", "a", "b", None]), rng.choice([1, 2])) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, t double, y int, k string, m int")
+    got = rows(pit.lagged_target_encoding(df, "id", "t", "y", ["k", "m"], 0.3, lag, smoothing, span), "id")
+    for at, c in ((3, "k"), (4, "m")):
+        for r in data:
+            seen = [o[2] for o in data if o[at] == r[at] and o[1] < r[1] - lag]
+            want = (sum(seen) + 0.3 * smoothing) / (len(seen) + smoothing) if len(seen) + smoothing > 0 else 0.3
+            assert got[r[0]][f"{c}_seen"] == len(seen) and got[r[0]][f"{c}_te"] == pytest.approx(want)
+    full = rows(pit.full_target_encoding(df, "id", "y", ["k"], 0.3, 2.0), "id")
+    for r in data:
+        same = [o[2] for o in data if o[3] == r[3]]
+        assert full[r[0]]["k_te"] == pytest.approx((sum(same) + 0.6) / (len(same) + 2))

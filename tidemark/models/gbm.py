@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite
 from tidemark.models.base import RankingModel
-from tidemark.operators import metrics
+from tidemark.operators import ordering
 
 MISSING = -999.0
 
@@ -21,8 +23,8 @@ class GbmModel(RankingModel):
 
     name = "gbm"
 
-    def __init__(self, trees: int = 100, depth: int = 6, rate: float = 0.05, min_rows: int = 100, row_share: float = 0.8, column_share: float = 0.6, patience: int = 20, step: int = 10, seed: int = 42):
-        self.trees, self.depth, self.rate, self.min_rows, self.row_share, self.column_share, self.patience, self.step, self.seed = trees, depth, rate, min_rows, row_share, column_share, patience, step, seed
+    def __init__(self, trees: int = 100, depth: int = 6, rate: float = 0.05, min_rows: int = 100, row_share: float = 0.8, column_share: float = 0.6, patience: int = 100, seed: int = 42):
+        self.trees, self.depth, self.rate, self.min_rows, self.row_share, self.column_share, self.patience, self.seed = trees, depth, rate, min_rows, row_share, column_share, patience, seed
 
     def _prepared(self, df: DataFrame) -> DataFrame:
         values = F.array(*(F.coalesce(finite(F.col(c).cast("double")), F.lit(MISSING)) for c in self.features))
@@ -42,29 +44,45 @@ class GbmModel(RankingModel):
         return self
 
     def _stop_early(self, valid: DataFrame, label: str) -> None:
-        """Scores growing prefixes of the trees and keeps the best one."""
-        best, since = -math.inf, 0
-        held = self._prepared(valid).select("__features", F.col(label).alias("__y")).cache()
-        for k in range(min(self.step, len(self.model.trees)), len(self.model.trees) + 1, self.step):
-            ap = metrics.average_precision(self._margin(held, k), "__margin", "__y").first()[0] or 0.0
-            self.history.append({"trees": k, "valid_pr_auc": ap})
+        """Average precision after every tree, from one evaluation of all trees; keeps the trees up to the best.
+
+        As training with patience would, it stops looking ``patience`` trees after the best so far.
+        """
+        trees, weights = self.model.trees, list(self.model.treeWeights)
+        rows = self._outputs(self._prepared(valid).select("__features", F.col(label).cast("long").alias("__y")), len(trees))
+
+        def margins(batches):
+            for batch in batches:
+                n = batch.num_rows
+                flat = np.array(batch.column("__trees").flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+                upto = np.cumsum(flat * weights, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(1, len(weights) + 1, dtype=np.int32), n)), pa.array(upto.ravel()), pa.array(np.repeat(batch.column("__y").to_numpy(), len(weights)))], ["k", "s", "y"])
+
+        by_score = rows.mapInArrow(margins, "k int, s double, y long").groupBy("k", "s").agg(F.count("*").alias("n"), F.sum("y").alias("tp"))
+        curve = ordering.running(by_score, [F.col("k").asc(), F.col("s").desc()], {"cum_n": F.col("n"), "cum_tp": F.col("tp")})
+        total = curve.groupBy("k").agg(F.min(F.col("cum_n") - F.col("n")).alias("n0"), F.min(F.col("cum_tp") - F.col("tp")).alias("tp0"), F.sum("tp").alias("p"))  # a row for each tree
+        gained = F.col("tp") * (F.col("cum_tp") - F.col("tp0")) / (F.col("cum_n") - F.col("n0")).cast("double")
+        found = curve.join(F.broadcast(total), "k").groupBy("k").agg((F.sum(gained) / F.nullif(F.max("p"), F.lit(0).cast("long"))).alias("ap")).orderBy("k").collect()
+        best = -math.inf
+        for r in found:
+            ap = r["ap"] or 0.0
+            self.history.append({"trees": r["k"], "valid_pr_auc": ap})
             if ap > best:
-                best, since, self.kept = ap, 0, k
-            else:
-                since += self.step
-            if since >= self.patience:
+                best, self.kept = ap, r["k"]
+            elif r["k"] - self.kept >= self.patience:
                 break
-        held.unpersist()
+
+    def _outputs(self, df: DataFrame, k: int) -> DataFrame:
+        """Adds the predictions of the first k trees as an array."""
+        out = df
+        for i, tree in enumerate(self.model.trees[:k]):
+            out = tree.setFeaturesCol("__features").setPredictionCol(f"__t{i}").transform(out)
+        return out.select(*df.columns, F.array(*(f"__t{i}" for i in range(k))).alias("__trees"))
 
     def _margin(self, df: DataFrame, k: int) -> DataFrame:
         """Sum of the first k trees' predictions by their weights."""
-        out, names = df, []
-        for i, tree in enumerate(self.model.trees[:k]):
-            tree.setFeaturesCol("__features").setPredictionCol(f"__t{i}")
-            out = tree.transform(out)
-            names.append((f"__t{i}", self.model.treeWeights[i]))
-        margin = F.aggregate(F.array(*(F.col(n) * w for n, w in names)), F.lit(0.0), lambda a, x: a + x)
-        return out.withColumn("__margin", margin).drop(*(n for n, _ in names))
+        weighted = F.zip_with("__trees", F.array(*(F.lit(float(w)) for w in list(self.model.treeWeights)[:k])), lambda t, w: t * w)
+        return self._outputs(df, k).withColumn("__margin", F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)).drop("__trees")
 
     def score(self, df, name="score"):
         out = self._margin(self._prepared(df), self.kept)
