@@ -21,6 +21,7 @@ from . import blocks, memory
 from .bpe import slices
 
 SAMPLE = (1_500, 3_000)  # bound of labelled rows to learn from: toxic, clean
+LONGEST = 100_000  # bytes of a text to learn from at most, so the sample is bounded in bytes; scores take texts of any length
 WINDOW, STRIDE = 24, 12
 WORD_ROWS, GRAM_ROWS, INPUT, HIDDEN = 8_192, 4_096, 12, 8
 EPOCHS, STEPS, BATCH, RATE = 4, 150, 256, 0.02  # epochs; more where they make fewer steps
@@ -305,12 +306,13 @@ def _calibrated(top: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, held_out_of: int = 5) -> Network:
-    """Train on labelled ``docs`` outside the held-out fold: at most ``sample`` toxic and clean rows by a hash of the id."""
+    """Train on labelled ``docs`` outside the held-out fold: at most ``sample`` toxic and clean rows by a hash of the id,
+    of at most LONGEST bytes each. Without labels of both kinds all scores are alike: of no labels, or clean ones, low."""
     usable = labels.where((F.crc32(F.col("doc_id").cast("string")) % held_out_of != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
     drawn = F.broadcast(drawn[0].union(drawn[1]).withColumnRenamed("doc_id", "__labelled"))  # as many rows as ``sample`` at most
     rows = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("body")).join(drawn, F.col("doc_id") == F.col("__labelled"))
-    found = rows.select("doc_id", "body", "toxic").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    found = rows.where(F.length("body") <= LONGEST).select("doc_id", "body", "toxic").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     return train([bytes(x) for x in found["body"]], found["toxic"].to_numpy(np.int64))
 
 
