@@ -141,13 +141,6 @@ def results_table(spark, d):
     return evaluate.results_table(out).withColumns({c: F.round(c, 7) for c in ("cv_mean", "cv_std")})
 
 
-@query()
-def model_comparison(spark, d):
-    """The linear model on two views, cross-validated and on the holdout."""
-    matrix = _matrix(spark, d)
-    return evaluate.results_table([evaluate.run_experiment(LinearModel, matrix, view=v) for v in ("base", "compact")])
-
-
 @query()
 def split_leakage(spark, d):
     matrix = _matrix(spark, d)
