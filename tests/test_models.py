@@ -126,3 +126,29 @@ def test_saved_results(spark, synth, tmp_path):
     evaluate.save([run], str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == 1
     assert {p.name for p in (tmp_path / "linear_base").iterdir()} >= {"per_fold", "calibration", "holdout", "importance"}
+
+
+def test_pca_profile(spark):
+    from tidemark.operators import unsup
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3)) @ rng.normal(size=(3, 5))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double, e double")
+    got = unsup.pca_profile(df, list("abcde")).first()
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    share = np.linalg.svd(z, compute_uv=False) ** 2
+    share /= share.sum()
+    upper = np.abs(np.corrcoef(z.T))[np.triu_indices(5, 1)]
+    assert got["pc1_share"] == pytest.approx(share[0]) and got["n_pc95"] == int(np.searchsorted(np.cumsum(share), 0.95) + 1)
+    assert got["mean_abs_corr"] == pytest.approx(upper.mean()) and got["share_above_09"] == pytest.approx((upper > 0.9).mean())
+
+
+def test_split_leakage(spark):
+    """A feature that tells the time leaks under a shuffled split of a label that drifts."""
+    from tidemark.plans import evaluate
+
+    rng = np.random.default_rng(6)
+    data = [(i, float(i), int(rng.random() < (0.1 if (i // 100) % 2 else 0.6)), *(float((i // 100) == k) for k in range(10))) for i in range(1000)]
+    df = spark.createDataFrame(data, "id long, t double, y int, " + ", ".join(f"b{k} double" for k in range(10)))
+    got = {r["arm"]: r["roc_auc"] for r in evaluate.split_leakage(lambda: LinearModel(iterations=20), df, [f"b{k}" for k in range(10)], "t", "id", "y").collect()}
+    assert got["shuffled"] > 0.7 > got["chronological"]

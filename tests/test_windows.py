@@ -112,3 +112,28 @@ def test_lagged_encoding_by_brute_force(spark, lag, smoothing, span):
     for r in data:
         same = [o[2] for o in data if o[3] == r[3]]
         assert full[r[0]]["k_te"] == pytest.approx((sum(same) + 0.6) / (len(same) + 2))
+
+
+def test_names_of_point_in_time_features():
+    names = ["uid_card1_prior_count", "card1_te", "card1_freq", "amt_decile", "ProductCD_code", "V1"]
+    assert [n for n in names if features.is_point_in_time(n)] == names[:2]
+    assert [n for n in names if features.depends_on_fit(n)] == names[1:5]
+
+
+def test_sort_fit_transform_in_one(tiny):
+    """The wrapper fits on the masked rows only, whatever the order of the rows."""
+    matrix, builder = features.build_feature_matrix(tiny.orderBy(F.desc(schema.ID)), F.col(schema.ID) <= 3)
+    assert builder.fitted
+    want = rows(features.FeatureBuilder().fit(tiny.where("TransactionID <= 3")).transform(tiny), schema.ID)
+    assert rows(matrix, schema.ID) == want
+
+
+def test_row_local_columns(spark):
+    """Float keys as text, missing parts of keys, the logistic function, codes of embedding tables."""
+    from tidemark.functions import scalar
+
+    df = spark.createDataFrame([(1, 150.0, None, 0.0, 7), (2, 1.5, "x", 2.0, -1), (3, None, "y", -3.0, None), (4, 1e6, "z", 40.0, 1)], "i int, f double, s string, z double, c int")
+    got = df.select("i", scalar.composite_key(F.col("f"), F.col("s")).alias("key"), scalar.sigmoid(F.col("z")).alias("p"), scalar.embedding_code(F.col("c"), 5).alias("code")).orderBy("i").collect()
+    assert [r["key"] for r in got] == ["150.0_NA", "1.5_x", "NA_y", "1000000.0_z"]
+    assert [r["p"] for r in got] == pytest.approx([0.5, 0.880797, 0.0474259, 1.0], abs=1e-6)
+    assert [r["code"] for r in got] == [4, 0, 0, 2]
