@@ -137,3 +137,22 @@ def test_row_local_columns(spark):
     assert [r["key"] for r in got] == ["150.0_NA", "1.5_x", "NA_y", "1000000.0_z"]
     assert [r["p"] for r in got] == pytest.approx([0.5, 0.880797, 0.0474259, 1.0], abs=1e-6)
     assert [r["code"] for r in got] == [4, 0, 0, 2]
+
+
+def test_strict_ties_by_brute_force(spark):
+    """With strict_ties rows of one time do not see each other; large amounts lose nothing to cancellation."""
+    import random
+    from statistics import mean, pstdev
+
+    rng = random.Random(5)
+    data = [(i, float(rng.randint(0, 25)), rng.randint(1, 3), rng.choice([1e9, 0.01, 3.0]) + rng.random()) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, t double, k int, a double")
+    got = rows(pit.entity_block(df, "u", ["k"], "t", "id", "a", strict_ties=True), "id")
+    for r in data:
+        seen = [o[3] for o in data if o[2] == r[2] and o[1] < r[1]]
+        row = got[r[0]]
+        assert row["u_prior_count"] == len(seen)
+        assert row["u_prior_amt_mean"] == (pytest.approx(mean(seen)) if seen else None)
+        assert row["u_prior_amt_std"] == (pytest.approx(pstdev(seen), rel=1e-6, abs=1e-6) if seen else None)
+        before = [o[1] for o in data if o[2] == r[2] and o[1] < r[1]]
+        assert row["u_secs_since_prev"] == (r[1] - max(before) if before else None)

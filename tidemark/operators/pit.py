@@ -21,28 +21,21 @@ def windowed_count(keys: list[str], time: str, seconds: float) -> Column:
     return F.count("*").over(g.rangeBetween(-int(seconds), 0)) - F.count("*").over(g.rangeBetween(0, 0))
 
 
-def _strictly(g, value: Column, *, count: bool = False) -> Column:
-    whole, ties = g.rangeBetween(FIRST, 0), g.rangeBetween(0, 0)
-    if count:
-        return F.count(value).over(whole) - F.count(value).over(ties)
-    return F.coalesce(F.sum(value).over(whole), F.lit(0)) - F.coalesce(F.sum(value).over(ties), F.lit(0))
-
-
 def entity_columns(prefix: str, keys: list[str], time: str, row_id: str, amount: str, strict_ties: bool = False) -> dict[str, Column]:
-    """The seven features of an entity, by name; amount features follow the double value of ``amount``."""
+    """The seven features of an entity, by name; amount features follow the double value of ``amount``.
+
+    ``strict_ties`` takes rows a second earlier at least, so it is for times in whole seconds.
+    """
     p = Window.partitionBy(*keys)
     g, r = p.orderBy(time), p.orderBy(time, row_id)
     x = F.col(amount).cast("double")
     if strict_ties:
-        n = _strictly(g, F.lit(1), count=True)
-        held = _strictly(g, x, count=True)
-        mean = _strictly(g, x) / F.nullif(held, F.lit(0))
-        spread = F.sqrt(F.greatest(_strictly(g, x * x) / F.nullif(held, F.lit(0)) - mean * mean, F.lit(0.0)))
-        since = F.col(time) - F.max(time).over(g.rangeBetween(FIRST, -1))  # times are whole seconds here
+        prior = g.rangeBetween(FIRST, -1)
+        since = F.col(time) - F.max(time).over(prior)
     else:
         prior = r.rowsBetween(FIRST, -1)
-        n, mean, spread = F.count("*").over(prior), F.avg(x).over(prior), F.stddev_pop(x).over(prior)
         since = F.col(time) - F.lag(time).over(r)
+    n, mean, spread = F.count("*").over(prior), F.avg(x).over(prior), F.stddev_pop(x).over(prior)
     return {
         f"{prefix}_prior_count": n,
         f"{prefix}_prior_amt_mean": mean,
@@ -66,7 +59,7 @@ def exact_prior_mean(keys: list[str], time: str, row_id: str, cents: str) -> Col
 
 def strict_prior_count(keys: list[str], time: str) -> Column:
     g = Window.partitionBy(*keys).orderBy(time)
-    return _strictly(g, F.lit(1), count=True)
+    return F.count("*").over(g.rangeBetween(FIRST, 0)) - F.count("*").over(g.rangeBetween(0, 0))
 
 
 def row_prior_count(keys: list[str], time: str, row_id: str) -> Column:
