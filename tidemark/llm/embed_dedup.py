@@ -337,9 +337,9 @@ def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESH
         total = {k: np.zeros(len(ids), np.int64) for k, (ids, _) in queries.items()}
         for batch in batches:
             space, unit = np.array(batch.column("space").to_pylist(), object), batch.column("unit")
-            for k, (_, q) in queries.items():
-                if len(at := np.flatnonzero(space == k)):
-                    total[k] += (q @ _matrix(pa.chunked_array([unit.take(pa.array(at))])).T >= threshold).sum(1)
+            for k in queries.keys() & set(space.tolist()):
+                at = pa.array(np.flatnonzero(space == k))
+                total[k] += (queries[k][1] @ _matrix(pa.chunked_array([unit.take(at)])).T >= threshold).sum(1)
         for k, (ids, _) in queries.items():
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[k])], ["vec_id", "n"])
 
