@@ -17,7 +17,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. A scan of fewer tasks than there are cores is dealt to all of them; it is a small one."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    tasks = min(cores, 64)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
