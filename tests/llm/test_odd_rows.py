@@ -73,8 +73,12 @@ def test_cache_is_bounded_in_bytes():
         texts = ["".join(rng.choice(list("abcdefgh"), 100_000)), " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(2_000))]
         assert encoder.encode(texts) == plain.encode(texts)
         assert encoder.cache.size <= 300_000
-    cache = PieceCache(lambda pieces: [p.encode() for p in pieces], limit=1_000)
-    assert cache.joined([["a", "b" * 5_000, "a"]]) == [b"a" + b"b" * 5_000 + b"a"] and cache.size <= 1_000
+    pieces, asked = [f"p{i}" for i in range(50_000)], []
+    cache = PieceCache(lambda new: (asked.extend(new), [p.encode() * (1 + len(p) % 3) for p in new])[1])
+    for k in range(0, 50_000, 7_000):
+        part = pieces[max(0, k - 500) : k + 7_000]
+        assert cache.joined([part, part[:3], []]) == [b"".join(p.encode() * (1 + len(p) % 3) for p in x) for x in (part, part[:3], [])]
+    assert sorted(asked) == sorted(pieces)  # each was encoded once
 
 
 def test_text_ids_are_refused(spark):

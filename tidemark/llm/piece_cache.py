@@ -3,35 +3,107 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import islice
+
+import numpy as np
+import xxhash
 
 from . import memory
 
-LIMIT = 96_000_000  # bytes that a cache holds, by the estimate below
-ENTRY = 230  # bytes of an entry besides its letters and codes
+LIMIT = 80_000_000  # bytes of the arrays of a cache
 
 
 class PieceCache:
-    """Holds results by piece. When it is full, every second piece goes; frequent ones are soon back."""
+    """Holds the codes of pieces in a few arrays: 128-bit hashes, an open-addressing table over them, and codes.
+
+    No piece is an object of its own, so a million take some 50 MB and go in one go. When LIMIT is reached, all go;
+    frequent ones are soon back.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = LIMIT):
-        self.encode, self.limit, self.size = encode, limit, 0
-        self.held: dict[str, bytes] = {}
+        self.encode, self.limit = encode, limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.count, self.used = 0, 0
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.keys, self.ends, self.codes = np.empty((1 << 10, 2), np.uint64), np.zeros((1 << 10) + 1, np.int64), np.empty(1 << 14, np.uint8)
+
+    @property
+    def size(self) -> int:
+        return self.slots.nbytes + self.keys.nbytes + self.ends.nbytes + self.codes.nbytes
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those not held."""
+        mask, out, todo = np.uint64(len(self.slots) - 1), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        slot = (keys[:, 0] & mask).astype(np.int64)
+        while len(todo):
+            held = self.slots[slot]
+            same = (held >= 0) & (self.keys[held] == keys[todo]).all(1)
+            out[todo[same]] = held[same]
+            more = ~same & (held >= 0)
+            todo, slot = todo[more], (slot[more] + 1) & int(mask)
+        return out
+
+    def _place(self, first: int) -> None:
+        """Enter the keys from ``first`` on into the table; no two are alike."""
+        mask, todo = len(self.slots) - 1, np.arange(first, self.count)
+        slot = (self.keys[first : self.count, 0] & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]  # of several for one slot the last stays
+            more = self.slots[slot] != todo
+            todo, slot = todo[more], (slot[more] + 1) & mask
+
+    def _hold(self, keys: np.ndarray, found: list[bytes]) -> None:
+        flat = np.frombuffer(b"".join(found), np.uint8)
+        first, self.count = self.count, self.count + len(keys)
+        if self.count > len(self.keys):
+            more = max(self.count, len(self.keys) * 3 // 2) - len(self.keys)
+            self.keys, self.ends = np.concatenate([self.keys, np.empty((more, 2), np.uint64)]), np.concatenate([self.ends, np.zeros(more, np.int64)])
+        if self.used + len(flat) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.empty(max(self.used + len(flat), len(self.codes) * 3 // 2) - len(self.codes), np.uint8)])
+        self.keys[first : self.count] = keys
+        self.ends[first + 1 : self.count + 1] = self.used + np.cumsum([len(x) for x in found])
+        self.codes[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        if 2 * self.count > len(self.slots):
+            self.slots, first = np.full(1 << (4 * self.count - 1).bit_length(), -1, np.int32), 0
+        self._place(first)
+        if self.size > self.limit:
+            self._empty()
+
+    def _held(self, keys: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Codes of the places ``at``."""
+        begin, end = self.ends[at], self.ends[at + 1]
+        size = end - begin
+        upto = np.cumsum(size)
+        flat = self.codes[np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        cuts = upto.tolist()
+        return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def known(self, pieces: list[str]) -> dict[str, bytes]:
+        """The codes of those pieces that are held."""
+        keys = _keys(pieces)
+        at = self._find(keys)
+        here = np.flatnonzero(at >= 0)
+        return dict(zip([pieces[i] for i in here.tolist()], self._held(keys[here], at[here])))
 
     def joined(self, split: list[list[str]]) -> list[bytes]:
         """The little-endian 32-bit ids of each text, given its pieces."""
         memory.used()
-        if new := list(set().union(*split).difference(self.held)):
-            found = self.encode(new)
-            self.held.update(zip(new, found))
-            self.size += _size(new, found)
-        get = self.held.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in split]
-        while self.size > self.limit:
-            self.held = dict(islice(self.held.items(), 0, None, 2)) if len(self.held) > 1 else {}
-            self.size = _size(self.held.keys(), self.held.values())
-        return out
+        pieces = list(set().union(*split))
+        keys = _keys(pieces)
+        at = self._find(keys)
+        here, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        codes = dict(zip([pieces[i] for i in here.tolist()], self._held(keys[here], at[here])))
+        if len(new):
+            fresh = [pieces[i] for i in new.tolist()]
+            found = self.encode(fresh)
+            codes.update(zip(fresh, found))
+            self._hold(keys[new], found)
+        get = codes.__getitem__
+        return [b"".join(map(get, part)) for part in split]
 
 
-def _size(pieces, found) -> int:
-    return ENTRY * len(pieces) + 2 * sum(map(len, pieces)) + sum(map(len, found))
+def _keys(pieces: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2)

@@ -45,11 +45,11 @@ class Encoder:
         """Ids of words; letters and the sign after them are encoded apart, as the tokenizer's own pattern splits them."""
         base = [w[:-1] if w[-1:] in TAILS and w[-2:-1].isalpha() else w for w in words]
         base = [b if ODD.search(b) else b.lower() for b in base]
-        known, held = {}, self.cache.held
+        bases = list({*base, *(w[-1] for w, b in zip(words, base) if len(b) < len(w))})
+        known = self.cache.known(bases)
         plain, other = [], []
-        for b in {*base, *(w[-1] for w, b in zip(words, base) if len(b) < len(w))}:
-            if b in held:
-                known[b] = held[b]
+        for b in bases:
+            if b in known:
                 continue
             (plain if b.isalpha() and not ODD.search(b) else other).append(b)
         for k in range(0, len(plain), JOINED * 100):
