@@ -237,8 +237,10 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7) -> Network:
     np.maximum.at(best_gram, tokens.gram_word, gram_odds[tokens.grams])
     worth = odds + 0.2 * best_gram
     text, first, length = windows(tokens.size, tokens.begin)
-    value = worth[_window_ids(tokens, first)]
-    value = np.where(np.arange(WINDOW) < length[:, None], value, -9).max(1)
+    value = np.empty(len(first))
+    for k in range(0, len(first), LANES):
+        some = worth[_window_ids(tokens, first[k : k + LANES])]
+        value[k : k + LANES] = np.where(np.arange(WINDOW) < length[k : k + LANES, None], some, -9).max(1)
     label = y[text]
     for turn in range(2):  # the second turn chooses windows by the network itself
         order = np.lexsort((-value, text))
@@ -313,7 +315,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     drawn = F.broadcast(drawn[0].union(drawn[1]).withColumnRenamed("doc_id", "__labelled"))  # as many rows as ``sample`` at most
     rows = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("body")).join(drawn, F.col("doc_id") == F.col("__labelled"))
     found = rows.where(F.length("body") <= LONGEST).select("doc_id", "body", "toxic").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    return train([bytes(x) for x in found["body"]], found["toxic"].to_numpy(np.int64))
+    texts, y = [bytes(x) for x in found["body"]], found["toxic"].to_numpy(np.int64)
+    del found
+    network = train(texts, y)
+    memory.release()
+    return network
 
 
 def scored(docs: DataFrame, network: Network) -> DataFrame:
