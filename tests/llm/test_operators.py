@@ -322,6 +322,29 @@ def test_rare_language_has_its_own_threshold(spark):
         assert sum(kept) >= 0.985 * len(kept)
 
 
+def test_all_trusted_texts_fit_or_set_thresholds(spark, monkeypatch):
+    """Four fifths of any number of trusted texts fit the model: there is no bound on them."""
+    fitted = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(docs, order):
+        fitted.append(docs.count())
+        raise Fitted
+
+    monkeypatch.setattr(quality, "model", fit)
+    docs = spark.range(13_000).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 10 = 0, 'fr', 'en') as lang")
+    for run in (quality.judged, quality.keep_good):
+        with pytest.raises(Fitted):
+            run(docs, docs.selectExpr("doc_id", "1 as quality"))
+    assert len(fitted) == 2 and all(abs(n - 0.8 * 13_000) < 300 for n in fitted)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 10)
+    with pytest.raises(Fitted):
+        quality.judged(docs, docs.selectExpr("doc_id", "1 as quality"))
+    assert fitted[2] == fitted[0]
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all symbols after any context, interpolated probabilities add up to one."""
     docs = spark.createDataFrame([("abab abc cab",), ("aab bca abc",)], "text string")
