@@ -207,3 +207,66 @@ def test_epoch_sends_one_set_of_parameters(spark, synth):
         mlp.summed = plain
     parameters = sum(v.size for v in model.layers.p.values())
     assert [len(v) for v in collected] == [3 + 3 * parameters] * 2
+
+
+def _plain_trees(x, y, trees, depth, rate, least, l2):
+    """Boosting by brute force: every cut of every node on all rows; x without missing values."""
+    edges = [np.unique(np.quantile(c, np.arange(32) / 32)) for c in x.T]
+    weight = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    margin = np.zeros(len(y))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h, nodes, out = weight * (y - p), weight * p * (1 - p), [np.arange(len(y))], []
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                score = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)
+                cuts = [(score(rows[left]) + score(rows[~left]) - score(rows), -f, -k, left) for f, e in enumerate(edges) for k, v in enumerate(e) for left in [x[rows, f] <= v] if left.sum() >= least and (~left).sum() >= least]
+                best = max(cuts, key=lambda c: c[:3], default=(0,))
+                below += [rows[best[3]], rows[~best[3]]] if best[0] > 0 else []
+                out += [] if best[0] > 0 else [rows]
+            nodes = below
+        for rows in nodes + out:
+            margin[rows] += rate * g[rows].sum() / (h[rows].sum() + l2)
+    return margin
+
+
+def test_trees_are_those_of_brute_force(spark, synth, monkeypatch):
+    """Whatever the number of tasks, and beyond the trees after which margins are added up anew."""
+    from tidemark.models import gbm
+
+    monkeypatch.setattr(gbm, "REPLAY", 3)
+    model = GbmModel(trees=5, depth=3, min_rows=20, row_share=1.0, column_share=1.0).fit(synth.repartition(5, "id"), ["amt_log", "V1"], "y")
+    got = model._margin(model._prepared(synth), 5).orderBy("id").toPandas()
+    wanted = _plain_trees(got[["amt_log", "V1"]].to_numpy(), got["y"].to_numpy(), 5, 3, 0.05, 20, 10.0)
+    assert got["__margin"].to_numpy() == pytest.approx(wanted, abs=1e-6)
+
+
+def test_early_stopping_by_ranges(spark, synth, monkeypatch):
+    """Validation rows in many ranges give the figures of one; without rows all trees are kept."""
+    from tidemark.models import gbm
+
+    model = GbmModel(trees=4, depth=3, min_rows=20).fit(synth, FEATURES, "y", synth)
+    whole = [h["valid_pr_auc"] for h in model.history]
+    monkeypatch.setattr(gbm, "RANGE_ROWS", 90)
+    model.history = []
+    model._stop_early(synth, "y")
+    assert [h["valid_pr_auc"] for h in model.history] == pytest.approx(whole)
+    assert GbmModel(trees=2, depth=2, min_rows=20).fit(synth, FEATURES, "y", synth.where("id < 0")).kept == 2
+
+
+def test_a_tree_is_one_pass_for_each_level(spark, synth):
+    """Passes grow with the levels of trees only, and missing and rare values have a bin of their own."""
+    tracker, group = spark.sparkContext.statusTracker(), "passes"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        GbmModel(trees=2, depth=3, min_rows=20).fit(synth, FEATURES, "y")
+        few = len(tracker.getJobIdsForGroup(group))
+        GbmModel(trees=6, depth=3, min_rows=20).fit(synth, FEATURES, "y")
+        more = len(tracker.getJobIdsForGroup(group)) - few
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert more - few <= 4 * 3
+    rare = spark.createDataFrame([(i, None if i % 50 == 0 else float(i % 40 == 1), int(i % 40 == 1 or i % 50 == 0)) for i in range(1200)], "id int, x double, y int")
+    got = GbmModel(trees=3, depth=2, min_rows=5).fit(rare, ["x"], "y").score(rare).groupBy("y").agg({"score": "min"}).toPandas().set_index("y")["min(score)"]
+    assert got[1] > 0.5 > got[0]
