@@ -535,3 +535,36 @@ def test_pipeline_stages(spark, tmp_path):
     for doc, part in out.groupby("doc_id"):
         assert b"".join(part.sort_values("start")["ids"]) == encode([data[doc][1]])[0]
     json.dumps(sorted(kept))
+
+
+def test_ngrams_of_words_are_hashed_once(spark, monkeypatch):
+    """Only distinct n-grams are hashed and looked up, whether told apart by a table or by sorting, and each symbol finds its own."""
+    from tidemark.llm import blocks, quality
+
+    words = [b"abab", b"ba", "né".encode(), b"", b"a\x02b"] * 50
+    hashed, plain = [], blocks.mix
+    monkeypatch.setattr(blocks, "mix", lambda a, b: (hashed.append(len(a)), plain(a, b))[1])
+    forms = []
+    for table in (16, 0):
+        monkeypatch.setattr(quality, "TABLE", table)
+        hashed.clear()
+        forms.append(quality.Grams(words, 3))
+        assert sum(hashed) == sum(len(k) for k in forms[-1].found) < 60
+    spelled = "".join("\x02" + w.decode() + "\x03" for w in words)
+    for g in forms:
+        for level, key in enumerate(g.found, 1):
+            own = {}
+            for i in g.at(level).tolist():
+                own.setdefault(spelled[i - level + 1 : i + 1], set()).add(int(key[g.of[level - 1][i]]))
+            assert all(len(x) == 1 for x in own.values()) and len(set.union(*own.values())) == len(own)
+        assert (g.distinct() == forms[0].distinct()).all()
+
+
+def test_model_leaves_no_texts_behind(spark):
+    """The model's own tables are deleted once it is written: neither texts nor counts stay beside it."""
+    from tidemark.llm import quality, shared
+
+    docs = spark.createDataFrame([(f"some plain words {i % 7} and more",) for i in range(40)], "text string")
+    held = shared.written()
+    lm = quality.model(docs, 3)
+    assert shared.written() == held + 1 and lm.count() > 0

@@ -28,47 +28,91 @@ QUANTILE = 0.995
 PULL = 40.0  # symbols' weight of the language's median
 MARGIN = 0.05  # nats that a text may exceed the quantile by
 BLOCK_BYTES = 3_000_000
-LOOKED_UP = 200_000  # keys that are looked up at once
+TABLE = 16  # n-grams are told apart by a table of at most this many cells for each symbol, and by sorting otherwise
 REPEAT = "↺".encode()
 EMPTY = np.uint64(0x5EED5EED5EED5EED)  # key of the empty context
 GRAM = "level int, key long, context long, suffix long, first boolean, n long"
 
 
+def _numbered(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``codes`` below ``size``, sorted, and the place of each code among them."""
+    if size > TABLE * (len(codes) + 1024):
+        return np.unique(codes, return_inverse=True)
+    met = np.zeros(size, bool)
+    met[codes] = True
+    found = np.flatnonzero(met)
+    place = np.empty(size, np.int32)
+    place[found] = np.arange(len(found), dtype=np.int32)
+    return found, place[codes]
+
+
 class Grams:
-    """Character n-grams of distinct words: per level the key of each symbol's n-gram."""
+    """Character n-grams of distinct words: per level the keys of distinct n-grams and the number of each symbol's.
+
+    N-grams are told apart by their context's number and their last symbol, so only distinct ones are hashed.
+    """
 
     def __init__(self, words: list[bytes], order: int):
         spelled = ["\x02" + w.decode("utf-8", "replace") + "\x03" for w in words]
         self.size = np.array([len(x) for x in spelled], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        symbols = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        self.place = np.arange(len(symbols)) - np.repeat(self.begin, self.size)
-        before = np.full(len(symbols), EMPTY)  # key of the context that ends before the symbol
-        self.keys = []
-        for _ in range(order):
-            self.keys.append(blocks.mix(before, symbols))
-            before = np.concatenate([self.keys[-1][:1], self.keys[-1][:-1]])
+        symbols = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.place = np.arange(len(symbols), dtype=np.int32) - np.repeat(self.begin, self.size).astype(np.int32)
+        letters, letter = _numbered(symbols, int(symbols.max(initial=0)) + 1)
+        letters = letters.astype(np.uint64)
+        self.found, self.context, self.of = [blocks.mix(np.full(len(letters), EMPTY), letters)], [np.zeros(len(letters), np.int64)], [letter]
+        for level in range(2, order + 1):
+            at = np.flatnonzero(self.place >= level - 1)
+            codes = self.of[-1][at - 1].astype(np.int64) * len(letters) + letter[at]
+            met, number = _numbered(codes, len(self.found[-1]) * len(letters))
+            context, last = np.divmod(met, max(1, len(letters)))
+            of = np.zeros(len(symbols), np.int32)
+            of[at] = number
+            self.found.append(blocks.mix(self.found[-1][context], letters[last]))
+            self.context.append(context)
+            self.of.append(of)
 
     def at(self, level: int) -> np.ndarray:
         """Places of the symbols that have an n-gram of the level: all but starts."""
-        return np.flatnonzero((self.place >= 1) & (self.place >= level - 1))
+        return np.flatnonzero(self.place >= max(1, level - 1))
+
+    @property
+    def keys(self) -> list[np.ndarray]:
+        """Per level the key of each symbol's n-gram, where it has one."""
+        return [key[of] for key, of in zip(self.found, self.of)]
 
     def contexts(self, level: int, at: np.ndarray) -> np.ndarray:
-        return self.keys[level - 2][at - 1] if level > 1 else np.full(len(at), EMPTY)
+        return self.found[level - 2][self.of[level - 2][at - 1]] if level > 1 else np.full(len(at), EMPTY)
+
+    def _contexts(self, level: int) -> np.ndarray:
+        """Key of the context of each distinct n-gram."""
+        return self.found[level - 2][self.context[level - 1]] if level > 1 else np.full(len(self.found[0]), EMPTY)
+
+    def counted(self, level: int, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the level's distinct n-grams that occur: key, context, suffix, whether a word begins with it, and how often."""
+        at = self.at(level)
+        at = at[times[at] > 0][::-1]
+        of, size = self.of[level - 1][at], len(self.found[level - 1])
+        n = np.bincount(of, times[at], size).astype(np.int64)
+        first = np.zeros(size, np.int64)
+        first[of] = at  # the first place, as it is written last
+        held = np.flatnonzero(n)
+        first = first[held]
+        suffix = self.found[level - 2][self.of[level - 2][first]] if level > 1 else np.full(len(held), EMPTY)
+        return self.found[level - 1][held], self._contexts(level)[held], suffix, self.place[first] == level - 1, n[held]
 
     def distinct(self) -> np.ndarray:
         """All keys to look up, sorted: n-grams and, one level lower, their contexts."""
-        levels = [np.unique(key[self.place >= level - 1]) for level, key in enumerate(self.keys, 1)]
-        return np.unique(np.concatenate([*levels, np.array([EMPTY])]))
+        return np.unique(np.concatenate([*self.found, np.array([EMPTY])]))
 
     def surprise(self, find, uniform: float) -> np.ndarray:
         """Negative log-likelihood of each word; ``find`` gives the alphas and gammas of keys."""
         p = np.full(len(self.place), uniform)
-        for level, key in enumerate(self.keys, 1):
+        for level, key in enumerate(self.found, 1):
+            alpha, gamma = find(key)[0], find(self._contexts(level))[1]
             at = self.at(level)
-            for k in range(0, len(at), LOOKED_UP):
-                some = at[k : k + LOOKED_UP]
-                p[some] = find(key[some])[0] + find(self.contexts(level, some))[1] * p[some]
+            of = self.of[level - 1][at]
+            p[at] = alpha[of] + gamma[of] * p[at]
         nats = np.where(self.place >= 1, -np.log(p), 0)
         return np.add.reduceat(nats, self.begin) if len(self.begin) else np.empty(0)
 
@@ -87,7 +131,7 @@ def _stream(texts: list[bytes]) -> Words:
 
 
 def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, alpha, gamma): discounted probability of an n-gram and back-off weight of a context, from all ``docs``."""
+    """(key, alpha, gamma): discounted probability of an n-gram and back-off weight of a context, from all ``docs``; materialised."""
 
     def grams(batches):
         memory.release()
@@ -96,14 +140,9 @@ def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
             weight = np.bincount(stream.ids, minlength=len(stream.words)) if len(stream.ids) else np.zeros(len(stream.words), np.int64)
             g = Grams(stream.words, order)
             times = np.repeat(weight, g.size)
-            for level, key in enumerate(g.keys, 1):
-                at = g.at(level)
-                at = at[times[at] > 0]
-                found, first, where = np.unique(key[at], return_index=True, return_inverse=True)
-                n = np.bincount(where, times[at], len(found)).astype(np.int64)
-                at = at[first]
-                suffix = g.keys[level - 2][at] if level > 1 else np.full(len(at), EMPTY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), *(pa.array(x.view(np.int64)) for x in (found, g.contexts(level, at), suffix)), pa.array(g.place[at] == level - 1), pa.array(n)], [x.split()[0] for x in GRAM.split(", ")])
+            for level in range(1, order + 1):
+                key, context, suffix, first, n = g.counted(level, times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, context, suffix)), pa.array(first), pa.array(n)], [x.split()[0] for x in GRAM.split(", ")])
 
     counted = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(grams, GRAM)
     counted = shared.materialise(counted.groupBy("level", "key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("first").alias("first"), F.sum("n").alias("n")))
@@ -122,7 +161,10 @@ def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     sums = cut.groupBy("context").agg(F.sum("a").cast("double").alias("total"), F.sum("cut").alias("freed"))
     alphas = cut.join(sums, "context").select("key", ((F.col("a") - F.col("cut")) / F.col("total")).alias("alpha"))
     gammas = sums.select(F.col("context").alias("key"), (F.col("freed") / F.col("total")).alias("gamma"))
-    return alphas.join(gammas, "key", "full").select("key", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    out = alphas.join(gammas, "key", "full").select("key", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    out = shared.materialise(out)
+    shared.drop(counted, a)
+    return out
 
 
 def surprise(docs: DataFrame, lm: DataFrame, order: int = ORDER, alphabet: int = 1 << 12) -> DataFrame:
@@ -224,7 +266,7 @@ def _judged(docs: DataFrame, labels: DataFrame, order: int, trusted_rows: int |
     if fitting.count() <= BROADCAST_ROWS:
         fitting = F.broadcast(fitting)
     texts = own.select("doc_id", F.coalesce("lang", F.lit("")).alias("__lang"), "text").join(fitting, (F.col("doc_id") == F.col("__trusted")) & (F.col("__lang") == F.col("group")))
-    lm = shared.materialise(model(shared.materialise(texts.select("text")), order))
+    lm = model(texts.select("text"), order)
     scored = surprise(own, lm, order)
     scored = shared.materialise(scored if whole else scored.drop("text"))
     mean = F.col("nats") / F.col("symbols")
