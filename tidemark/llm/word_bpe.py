@@ -73,9 +73,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process, so tasks share what is cached."""
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-memory.on_release(encoder.cache_clear)
+memory.on_release(_encoder.cache_clear)
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each file and worker process, so tasks share what is cached; what others have left goes."""
+    memory.release(_encoder.cache_clear)
+    return _encoder(path)
