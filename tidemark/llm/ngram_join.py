@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, shared
-from .words import Words
+from .words import word_hashes
 
 WORDS = 5  # words of a shingle
 PERCENT = 75  # least similarity in hundredths
@@ -37,15 +37,14 @@ SALTS = 16  # tasks that the copies of one set are dealt to when they get their
 
 def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of a shorter text its whole sequence, of no words nothing."""
-    words = Words(texts)
-    hashes = words.hashes[words.ids] if len(words.ids) else np.empty(0, np.uint64)
+    hashes, starts = word_hashes(texts)
     rolled = hashes[: max(0, len(hashes) - width + 1)]
     for k in range(1, width):
         rolled = blocks.mix(rolled, hashes[k : k + len(rolled)])
     out = []
-    for a, b in zip(words.starts[:-1].tolist(), words.starts[1:].tolist()):
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            out.append(blocks.distinct(rolled[a : b - width + 1]))
         elif b > a:
             whole = hashes[a : a + 1]
             for k in range(a + 1, b):
@@ -95,12 +94,16 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def last(table, answers):
         sets = shingle_sets(blocks.texts_of(table), width)
-        keys = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-        counts = blocks.answers_by_level(answers, (np.uint64,))[1][0][0]
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        by_key = np.argsort(flat)
+        rank = np.empty(len(flat), np.int64)
+        rank[by_key] = np.cumsum(np.diff(flat[by_key], prepend=flat[by_key[:1]]) != 0)
+        flat_counts = blocks.answers_by_level(answers, (np.uint64,))[1][0][0][rank]
+        ends = np.cumsum([len(x) for x in sets], dtype=np.int64).tolist()
         out: dict[str, list] = {k: [] for k in ("set_key", "prefix_end", "counts", "shingles")}
-        for members in sets:
+        for members, end in zip(sets, ends):
             size = len(members)
-            count = counts[np.searchsorted(keys, members)]
+            count = flat_counts[end - size : end]
             length = size - int(_least_common(size, percent)) + 1
             alone = int(np.count_nonzero(count == 1))
             if not size or alone >= length:
