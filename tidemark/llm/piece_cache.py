@@ -10,6 +10,7 @@ import xxhash
 from . import memory
 
 LIMIT = 80_000_000  # bytes of the arrays of a cache
+AT_ONCE = 1 << 20  # parts that are gathered at once
 
 
 class PieceCache:
@@ -32,7 +33,7 @@ class PieceCache:
     def size(self) -> int:
         return self.slots.nbytes + self.keys.nbytes + self.ends.nbytes + self.codes.nbytes
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 for those not held."""
         mask, out, todo = np.uint64(len(self.slots) - 1), np.full(len(keys), -1, np.int64), np.arange(len(keys))
         slot = (keys[:, 0] & mask).astype(np.int64)
@@ -54,8 +55,8 @@ class PieceCache:
             more = self.slots[slot] != todo
             todo, slot = todo[more], (slot[more] + 1) & mask
 
-    def _hold(self, keys: np.ndarray, found: list[bytes]) -> None:
-        flat = np.frombuffer(b"".join(found), np.uint8)
+    def hold(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Hold the codes of keys that are not held: bytes one after the other, and how many each has."""
         first, self.count = self.count, self.count + len(keys)
         if self.count > len(self.keys):
             more = max(self.count, len(self.keys) * 3 // 2) - len(self.keys)
@@ -63,7 +64,7 @@ class PieceCache:
         if self.used + len(flat) > len(self.codes):
             self.codes = np.concatenate([self.codes, np.empty(max(self.used + len(flat), len(self.codes) * 3 // 2) - len(self.codes), np.uint8)])
         self.keys[first : self.count] = keys
-        self.ends[first + 1 : self.count + 1] = self.used + np.cumsum([len(x) for x in found])
+        self.ends[first + 1 : self.count + 1] = self.used + np.cumsum(sizes)
         self.codes[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         if 2 * self.count > len(self.slots):
@@ -72,38 +73,41 @@ class PieceCache:
         if self.size > self.limit:
             self._empty()
 
-    def _held(self, keys: np.ndarray, at: np.ndarray) -> list[bytes]:
-        """Codes of the places ``at``."""
-        begin, end = self.ends[at], self.ends[at + 1]
-        size = end - begin
-        upto = np.cumsum(size)
-        flat = self.codes[np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
-        cuts = upto.tolist()
-        return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
-
-    def known(self, pieces: list[str]) -> dict[str, bytes]:
-        """The codes of those pieces that are held."""
-        keys = _keys(pieces)
-        at = self._find(keys)
-        here = np.flatnonzero(at >= 0)
-        return dict(zip([pieces[i] for i in here.tolist()], self._held(keys[here], at[here])))
+    def held(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the places ``at``: bytes one after the other, and how many each has."""
+        begin = self.ends[at]
+        size = self.ends[at + 1] - begin
+        return gather(self.codes, begin, size), size
 
     def joined(self, split: list[list[str]]) -> list[bytes]:
         """The little-endian 32-bit ids of each text, given its pieces."""
         memory.used()
         pieces = list(set().union(*split))
-        keys = _keys(pieces)
-        at = self._find(keys)
+        keys = keys_of(pieces)
+        at = self.find(keys)
         here, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-        codes = dict(zip([pieces[i] for i in here.tolist()], self._held(keys[here], at[here])))
+        flat, size = self.held(at[here])
+        flat, cuts = flat.tobytes(), np.cumsum(size).tolist()
+        codes = dict(zip([pieces[i] for i in here.tolist()], [flat[i:j] for i, j in zip([0, *cuts], cuts)]))
         if len(new):
             fresh = [pieces[i] for i in new.tolist()]
             found = self.encode(fresh)
             codes.update(zip(fresh, found))
-            self._hold(keys[new], found)
+            self.hold(keys[new], np.frombuffer(b"".join(found), np.uint8), np.array([len(x) for x in found], np.int64))
         get = codes.__getitem__
         return [b"".join(map(get, part)) for part in split]
 
 
-def _keys(pieces: list[str]) -> np.ndarray:
+def gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``pool`` that begin at ``begin`` and are ``size`` long, one after the other."""
+    out = []
+    for k in range(0, len(begin), AT_ONCE):
+        b, n = begin[k : k + AT_ONCE], size[k : k + AT_ONCE]
+        upto = np.cumsum(n)
+        out.append(pool[np.repeat(b - (upto - n), n) + np.arange(upto[-1])])
+    return out[0] if len(out) == 1 else np.concatenate(out or [pool[:0]])
+
+
+def keys_of(pieces: list[str] | list[bytes]) -> np.ndarray:
+    """128-bit hashes of pieces; a text and its UTF-8 bytes have the same."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2)
